@@ -65,3 +65,26 @@ WITH doc_words AS (
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM doc_words LEFT JOIN hits USING (doc_id) LEFT JOIN named USING (doc_id)
 """
+
+NEAR = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), grams AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) >= 3 THEN list_transform(range(1, CAST(len(w) - 1 AS BIGINT)), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])
+         WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM words
+), sizes AS MATERIALIZED (
+  SELECT doc_id, len(g) AS n FROM grams
+), posted AS MATERIALIZED (
+  SELECT doc_id, n, unnest(g) AS s FROM grams JOIN sizes USING (doc_id)
+), links AS MATERIALIZED (
+  SELECT a.doc_id AS u, b.doc_id AS v FROM posted a JOIN posted b ON a.s = b.s AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), sym AS MATERIALIZED (
+  SELECT u, v FROM links UNION ALL SELECT v, u FROM links
+), reached(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM sizes UNION SELECT r.doc_id, b.v FROM reached r JOIN sym b ON r.other = b.u
+), least_ AS (
+  SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id
+)
+SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM sizes JOIN least_ USING (doc_id)
+"""
