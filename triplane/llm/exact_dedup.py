@@ -97,7 +97,8 @@ def exact_dedup(docs: DataFrame, window: int = 48, bits: int = 10, least: int =
         F.min("text_sha256").alias("lo"),
         F.max("text_sha256").alias("hi"),
     )
-    out = rows.join(groups, "recipe")
+    # Written out, so that both sides of the join are plain shuffles and a hot recipe's rows can be split.
+    out = rows.join(scratch.keep(groups, "groups"), "recipe")
     same = F.coalesce(F.assert_true(F.col("lo") == F.col("hi"), F.lit("texts of one recipe differ")).cast("boolean"), F.lit(True))
     return out.where(same).select(
         "doc_id",
