@@ -38,7 +38,7 @@ _LONG = 256
 #: Words encoded by one call.
 _RUN = 2000
 #: Distinct pieces held by a worker before it starts anew; bounds its memory, not its results.
-_MOST = 1_500_000
+_MOST = 800_000
 
 
 class Encoder:
