@@ -177,7 +177,7 @@ def _identify(held, text_at: int):
         for batch in batches:
             names, scores = [], []
             lettered = batch.column(batch.num_columns - 1).to_pylist()
-            for first, end, buf, offsets in chunks(batch.column(text_at), 4 << 20):
+            for first, end, buf, offsets in chunks(batch.column(text_at), 2 << 20):
                 if not model.languages:
                     names += [None] * (end - first)
                     scores += [0.0] * (end - first)

@@ -48,7 +48,7 @@ def _pieces(path: str, end_id: int, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path).encode
         for batch in batches:
-            for first, end, buf, offsets in chunks(batch.column(1), 4 << 20):
+            for first, end, buf, offsets in chunks(batch.column(1), 2 << 20):
                 ids, bounds = with_end(*encode(buf, offsets), end_id)
                 n = np.diff(bounds)
                 parts = -(-n // capacity)

@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 _SHIPPED = "_triplane_shipped"
+#: Bytes of one Arrow batch handed to a Python worker; a batch ends with the row that passes it.
+BATCH_BYTES = 8 << 20
 
 
 def folder(spark: SparkSession) -> str:
@@ -58,8 +60,9 @@ def keep(df: DataFrame, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors' Python workers, once a session."""
+    """Send this package to the executors' Python workers, once a session, and bound their batches by bytes."""
     sc = spark.sparkContext
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     if getattr(sc, _SHIPPED, False):
         return
     root = Path(__file__).resolve().parents[1]

@@ -212,7 +212,7 @@ def _write(path: str, folder: str, end_id: int, percentile: float):
                 writer, low = Writer(uri, percentile), batch.column(0)[0].as_py()
             known = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
             names = batch.column(0).fill_null(0).to_numpy()
-            for first, end, buf, offsets in chunks(batch.column(1), 4 << 20):
+            for first, end, buf, offsets in chunks(batch.column(1), 2 << 20):
                 ids, bounds = with_end(*encode(buf, offsets), end_id)
                 writer.add(names[first:end], known[first:end], np.diff(bounds), ids)
         if writer is not None:

@@ -7,6 +7,7 @@ S[i] = sum of v(byte j) * B**j for j < i (mod 2**64), the range [a, b) hashes to
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -55,6 +56,16 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0][:n], _POWERS[1][:n]
 
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def release() -> None:
+    """Give freed memory back to the system: idle workers stay small while other stages run."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def chunks(texts: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first, end, bytes, offsets) over runs of whole texts of about ``most`` bytes; null is empty."""
     if isinstance(texts, pa.ChunkedArray):
@@ -73,6 +84,7 @@ def chunks(texts: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int,
         end = max(first + 1, int(np.searchsorted(offsets, offsets[first] + most, "right")) - 1)
         yield first, end, raw[offsets[first] : offsets[end]], offsets[first : end + 1] - offsets[first]
         first = end
+    release()
 
 
 class Prefix:
