@@ -300,6 +300,23 @@ def test_toxicity(spark, empty):
     assert {r["score"] for r in toxicity.score(docs, {}).collect()} == {0.5}
 
 
+def test_toxicity_inflected_words(spark):
+    rng = random.Random(5)
+    ends = ["".join(rng.choices("aeioust", k=4)) for _ in range(300)]
+    rows, labels = [], []
+    for k in range(900):
+        words = [rng.choice(WORDS) + str(rng.randrange(30)) for _ in range(60)]
+        if k % 6 == 0:  # no form of the second half stands in the first
+            for stem in ("vilé", "nastig"):
+                words[rng.randrange(60)] = stem + ends[rng.randrange(150) + 150 * (k >= 600)]
+        rows.append((k, " ".join(words)))
+        labels.append((k, int(k % 6 == 0)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    weights = toxicity.fit(docs, spark.createDataFrame(labels[:600], "doc_id long, toxic int"))
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, weights).collect()}
+    assert sum((got[k] >= 0.5) == bool(y) for k, y in labels[600:]) >= 294
+
+
 def test_language(spark, docs, empty):
     own = {"xx": "straße über der die und ein nicht", "yy": "the of and to in is that it was"}
     rng = random.Random(6)

@@ -1,7 +1,8 @@
 """Toxicity scoring: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
 A text is its set of words, word pairs and skip-grams (pairs with one or two words between), hashed
-to 2**BITS coordinates.  Training is online with per-coordinate learning rates; L1 leaves few weights, and
+to 2**BITS coordinates.  A longer word also counts by its stems, its first 3 to 8 bytes, under coordinates
+of their own: inflected forms share them, while a short word is not taken for the start of another.  Training is online with per-coordinate learning rates; L1 leaves few weights, and
 those are broadcast.  The model is fitted on a bounded, documented sample of labelled rows (``bound``: the
 expected number, taken by a hash of doc_id), in one task that holds at most the sample.
 
@@ -25,14 +26,20 @@ from triplane.llm.words import ALNUM, Words, chunks, mix
 BITS = 20
 BIAS = 1 << BITS
 GAPS = (2, 3)
+#: Bytes of the stems of a longer word.
+STEMS = range(3, 9)
 _U = np.uint64
 
 
 def hashed(words: Words) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(word number, coordinate) lists of words, pairs and skip-grams."""
+    """(word number, coordinate) lists of words, stems, pairs and skip-grams."""
     h, shift = words.hashes, _U(64 - BITS)
     last = np.repeat(words.docs[1:], np.diff(words.docs))
     out = [(np.arange(len(h)), (mix(h) >> shift).astype(np.int64))]
+    for length in STEMS:
+        at = np.flatnonzero(words.ends - words.starts > length)
+        stem = words.prefix.hash(words.starts[at], words.starts[at] + length)
+        out.append((at, (mix(stem ^ _U(0xA0761D6478BD642F)) >> shift).astype(np.int64)))
     for gap in (1, *GAPS):
         at = np.flatnonzero(np.arange(len(h)) + gap < last)
         pair = mix(h[at] * _U(0x9E3779B97F4A7C15 + 2 * gap) + h[at + gap])
@@ -58,7 +65,7 @@ def _train_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Ftrl:
     """Per-coordinate FTRL-proximal state with L1 and L2."""
 
-    def __init__(self, alpha: float = 0.3, beta: float = 1.0, l1: float = 2.0, l2: float = 0.1):
+    def __init__(self, alpha: float = 1.0, beta: float = 1.0, l1: float = 2.0, l2: float = 0.1):
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
         self.z, self.n = np.zeros(BIAS + 1), np.zeros(BIAS + 1)
 
