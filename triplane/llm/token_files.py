@@ -37,13 +37,13 @@ from pyspark.sql.window import Window
 
 from triplane.llm import scratch
 from triplane.llm.tokens import encoder, with_end
-from triplane.llm.words import chunks
+from triplane.llm.words import chunks, release
 
 MAGIC = b"TPFR0001"
 BLOCK = 4096
 _HEAD = struct.Struct("<IHBBHH")
 _TAIL = struct.Struct("<QQQQ8s")
-_RUN = 256  # blocks packed at once
+_RUN = 64  # blocks packed at once
 _U = np.uint64
 
 
@@ -212,11 +212,13 @@ def _write(path: str, folder: str, end_id: int, percentile: float):
                 writer, low = Writer(uri, percentile), batch.column(0)[0].as_py()
             known = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
             names = batch.column(0).fill_null(0).to_numpy()
-            for first, end, buf, offsets in chunks(batch.column(1), 2 << 20):
+            for first, end, buf, offsets in chunks(batch.column(1)):
                 ids, bounds = with_end(*encode(buf, offsets), end_id)
                 writer.add(names[first:end], known[first:end], np.diff(bounds), ids)
         if writer is not None:
             docs, tokens = writer.close()
+            writer = None
+            release()
             yield pa.RecordBatch.from_arrays(
                 [pa.array([uri]), pa.array([low], pa.int64()), pa.array([docs], pa.int64()), pa.array([tokens], pa.int64())], names=["file", "low", "docs", "tokens"]
             )
@@ -247,6 +249,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     names=["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
                 start += int(upto[-1])
+            release()
 
 
 def read_tokens(spark: SparkSession, manifest: DataFrame) -> DataFrame:

@@ -53,7 +53,8 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.slots: dict[int, int] = {}
+        self.known = np.zeros(0, np.uint64)  # sorted keys of all pieces held, in 12 bytes a piece with their slots
+        self.slots = np.zeros(0, np.int32)
         self.start = np.zeros(1 << 12, np.int64)
         self.count = np.zeros(1 << 12, np.int64)
         self.flat = np.zeros(1 << 14, np.uint32)
@@ -80,7 +81,8 @@ class Encoder:
             out[k] = x.ids
         return out
 
-    def _learn(self, keys: list[int], texts: list[str]) -> None:
+    def _learn(self, texts: list[str]) -> np.ndarray:
+        """The slots of new pieces."""
         batch = self._ids(texts)
         n, first = np.array([len(x) for x in batch], np.int64), len(self.slots)
         while len(self.start) < first + len(n):
@@ -92,7 +94,7 @@ class Encoder:
         self.count[first : first + len(n)] = n
         self.start[first : first + len(n)] = self.used + np.cumsum(n) - n
         self.used += total
-        self.slots.update(zip(keys, range(first, first + len(n)), strict=True))
+        return np.arange(first, first + len(n), dtype=np.int32)
 
     def encode(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in order, where each text's ids start and end)."""
@@ -118,18 +120,21 @@ class Encoder:
         slot = self.near_slot[place]
         missing = np.flatnonzero((self.near_key[place] != keys) | (slot < 0))
         if len(missing):
-            if len(self.slots) > _MOST:
+            if len(self.known) > _MOST:
                 self._clear()
                 missing = np.arange(len(keys))
             unique, first, back = np.unique(keys[missing], return_index=True, return_inverse=True)
-            names = unique.tolist()
-            got = [self.slots.get(x, -1) for x in names]
-            if new := [k for k, x in enumerate(got) if x < 0]:
-                raw, at = buf.tobytes(), missing[first[new]]
-                texts = [raw[x:y].decode("utf-8", "replace") for x, y in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
-                self._learn([names[k] for k in new], texts)
-                got = [self.slots[x] for x in names]
-            slot[missing] = np.array(got, np.int32)[back]
+            at = np.searchsorted(self.known, unique)
+            held = at < len(self.known)
+            held[held] = self.known[at[held]] == unique[held]
+            got = np.zeros(len(unique), np.int32)
+            got[held] = self.slots[at[held]]
+            if len(new := np.flatnonzero(~held)):
+                raw, own = buf.tobytes(), missing[first[new]]
+                texts = [raw[x:y].decode("utf-8", "replace") for x, y in zip(starts[own].tolist(), ends[own].tolist(), strict=True)]
+                got[new] = self._learn(texts)
+                self.known, self.slots = np.insert(self.known, at[new], unique[new]), np.insert(self.slots, at[new], got[new])
+            slot[missing] = got[back]
             self.near_key[place[missing]] = keys[missing]
             self.near_slot[place[missing]] = slot[missing]
         n = self.count[slot]
