@@ -154,6 +154,24 @@ def test_near_dedup(spark, docs, empty, block, monkeypatch):
         assert near_dedup.near_dedup(empty).count() == 0
 
 
+def test_near_dedup_links_of_lists_of_two(spark):
+    rng = random.Random(11)
+    rows = []
+    for k in range(120):  # an original with two copies that differ more from each other, or a chain of three revisions
+        first = [f"v{k}x{rng.randrange(10**6)}" for _ in range(90)]
+        other, chain = list(first), k % 2
+        at = rng.sample(range(4, 86, 8), 6)
+        for j in at[:2]:
+            other[j] = f"o{k}x{j}"
+        last = list(other if chain else first)
+        for j in at[2 : 4 + k % 3 // 2]:
+            last[j] = f"l{k}x{j}"
+        rows += [(3 * k + d, " ".join(w)) for d, w in enumerate(rng.sample([first, other, last], 3))]
+    want = clusters(rows, 3, 85)
+    got = near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
+
+
 def test_block_links_finds_every_link():
     rng = np.random.default_rng(1)
     n, sets = 16, [np.unique(rng.integers(0, 60, 50).astype(np.uint64)) for _ in range(30)]

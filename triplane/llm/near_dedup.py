@@ -7,7 +7,8 @@
    rarest tokens (prefix merging), so only those are posted; lists of frequent tokens are skipped and
    their collisions are counted from the two signatures (skip merging).
 3. Links are confirmed on full shingle sets.  First each document is tried against its lists' leaders
-   and linked ones fall into components; within a list, pairs of one component need no test.
+   (in the first round the best one, and the other document of each list of two) and linked ones fall
+   into components; within a list, pairs of one component need no test.
    What is left in lists with several components is compared in blocks of bounded size: every
    pair of different components with t or more collisions is tested, in the list of its rarest common
    token alone, and only links leave the block.  No list is capped and no pair is emitted
@@ -206,15 +207,16 @@ def _blocks(n: int, t: int, percent: int):
 
 
 def _star(lists: DataFrame, members: DataFrame, sets: DataFrame, t: int, percent: int, turn: int) -> DataFrame:
-    """Confirmed links of documents to a leader of another component in one of their lists."""
-    lead = lists.groupBy("token").agg(F.min_by(F.struct("doc", "comp"), F.xxhash64("doc", F.lit(turn))).alias("lead"))
+    """Confirmed links of documents to a leader of another component in one of their lists; lists of two are settled."""
+    lead = lists.groupBy("token").agg(F.min_by(F.struct("doc", "comp"), F.xxhash64("doc", F.lit(turn))).alias("lead"), F.count("*").alias("n"))
     tried = lists.join(lead, "token").where(F.col("comp") != F.col("lead.comp"))
-    tried = tried.select("doc", F.col("lead.doc").alias("lead")).distinct()
+    tried = tried.groupBy("doc", F.col("lead.doc").alias("lead")).agg((F.min("n") == 2).alias("two"))
     own = members.select("doc", "own")
     tried = tried.join(own.toDF("lead", "theirs"), "lead").join(own, "doc")
-    tried = tried.select("doc", "lead", F.size(F.array_intersect("own", "theirs")).alias("hits")).where(F.col("hits") >= t)
-    best = tried.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("hits", "lead")), False).alias("leads"))  # one a list at most
-    best = best.select("doc", F.explode(F.slice("leads.lead", 1, TRIES if turn else 1)).alias("lead"))
+    tried = tried.select("doc", "lead", "two", F.size(F.array_intersect("own", "theirs")).alias("hits")).where(F.col("hits") >= t)
+    best = tried.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("hits", "lead", "two")), False).alias("leads"))  # one a list at most
+    first = F.slice("leads", 1, TRIES if turn else 1)
+    best = best.select("doc", F.explode(F.array_union(first, F.filter("leads", lambda x: x["two"]))["lead"]).alias("lead"))
     pairs = best.join(sets.toDF("lead", "a"), "lead").join(sets.toDF("doc", "b"), "doc")
     return pairs.select("doc", "lead", "a", "b").mapInArrow(_confirm(percent), "u long, v long")
 
@@ -284,7 +286,7 @@ def near_dedup(docs: DataFrame, size: int = 5, percent: int = 80, n: int = 48, t
             now = lists.join(own, "doc", "left").select("doc", "token", F.coalesce("component", "doc").alias("comp"))
         open_ = now.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"))
         open_ = open_.where(F.col("lo") != F.col("hi"))
-        if turn:  # both documents of a list of two have been tried against each other
+        if turn:  # in turn 0 both documents of every list of two have been tried against each other
             open_ = open_.where("n > 2")
         now = scratch.keep(now.join(open_.select("token"), "token"), "open")
         if now.limit(1).count() == 0:
