@@ -10,8 +10,9 @@ the last return the columns of ``documents``:
 * decontaminate drops documents that hold a ten-word window of a benchmark item,
 * packing returns the packed pieces of what is left.
 
-Rows with a null doc_id pass near_dedup and decontaminate; rows that share a doc_id share their fate;
-empty input gives empty output.
+near_dedup and decontaminate judge every row by itself, under a row key, also where doc_id is null or
+repeated; of a near-duplicate group the row with the least doc_id stays (null is last).  Empty input
+gives empty output.
 """
 
 from __future__ import annotations
@@ -38,15 +39,25 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return line_dedup(docs, MIN_SITES).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
+def keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """docs with a key of each row, kept in the shared folder, and the same rows with the key as doc_id."""
+    rows = scratch.keep(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")), "rows")
+    return rows, rows.select(F.col("row").alias("doc_id"), "text")
+
+
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    gone = near_dedup(docs).where(~F.col("kept")).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    rows, own = keyed(docs)
+    found = near_dedup(own).select(F.col("doc_id").alias("row"), "component_id").join(rows.select("row", "doc_id"), "row")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row"))
+    stays = found.groupBy("component_id").agg(first.alias("first")).select(F.col("first.row").alias("row"))
+    return rows.join(stays, "row", "left_semi").select(*COLUMNS)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    gone = found.where(F.size("spans") > 0).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    rows, own = keyed(docs)
+    found = decontaminate(own, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    gone = found.where(F.size("spans") > 0).select(F.col("doc_id").alias("row"))
+    return rows.join(gone, "row", "left_anti").select(*COLUMNS)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
