@@ -1,7 +1,7 @@
 """Near-duplicate detection: MinHash signatures joined by signature coordinate.
 
 1. Every text becomes its set of distinct word shingles, a 128-bit key of that set and a signature of ``n``
-   minimum hashes.  Documents with one key have one set; a representative stands for them.
+   minimum hashes.  Documents with one key have one set; the key, numbered, is the node that is linked.
 2. Representatives are posted under each (coordinate, value) token.  Tokens seen once cannot collide and
    go.  A pair above the match threshold of ``t`` equal coordinates shares one of each side's n - t + 1
    rarest tokens (prefix merging), so only those are posted; lists of frequent tokens are skipped and
@@ -19,8 +19,9 @@ Two texts at the similarity threshold 0.85 agree in each coordinate with probabi
 and t = 29 fewer than 2 in 100,000 such pairs miss the match threshold.
 
 Defined results: null text, empty text and text without words have an empty set, link with nothing and
-are their own component; rows that share a doc_id count as one document; rows with a null doc_id are
-returned unlinked (component_id null, kept true).  An empty table gives no rows; extra columns are
+are their own component; rows that share a doc_id are linked each by its own text, and a component is
+named by its least doc_id, whose rows are kept; rows with a null doc_id are returned unlinked
+(component_id null, kept true).  An empty table gives no rows; extra columns are
 ignored.
 """
 
@@ -106,7 +107,8 @@ def _sets(size: int):
         for batch in batches:
             for first, end, buf, offsets in chunks(batch.column(1)):
                 own = [s.tobytes() for s in shingle_sets(buf, offsets, size)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), pa.array(own, pa.binary())], names=["doc", "shingles"])
+                keys = pa.array([hashlib.blake2b(s, digest_size=16).digest() for s in own], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), keys, pa.array(own, pa.binary())], names=["doc_id", "set_key", "shingles"])
 
     return run
 
@@ -253,9 +255,10 @@ def near_dedup(docs: DataFrame, size: int = 5, percent: int = 80, n: int = 48, t
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
     features = scratch.keep(rows.mapInArrow(_features(size, n), "doc_id long, n_shingles long, set_key binary, tokens array<long>"), "signatures")
     full = features.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-    classes = scratch.keep(full.groupBy("set_key").agg(F.min("doc_id").alias("doc")), "classes")
+    classes = full.groupBy("set_key").agg(F.min("doc_id").alias("least")).withColumn("doc", F.monotonically_increasing_id())
+    classes = scratch.keep(classes, "classes")
 
-    reps = full.join(classes, (full["doc_id"] == classes["doc"]) & (full["set_key"] == classes["set_key"])).select("doc", "tokens")
+    reps = full.join(classes, (full["doc_id"] == classes["least"]) & (full["set_key"] == classes["set_key"])).select("doc", "tokens")
     posted = reps.select("doc", F.posexplode("tokens").alias("coord", "token"))
     seen = posted.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     shared = posted.join(seen, "token").groupBy("doc").agg(F.sort_array(F.collect_set(F.struct("df", "coord", "token"))).alias("shared"))
@@ -272,9 +275,11 @@ def near_dedup(docs: DataFrame, size: int = 5, percent: int = 80, n: int = 48, t
     several = lists.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token")
     lists = scratch.keep(lists.join(several, "token"), "lists")
 
-    wanted = lists.select("doc").distinct()
-    texts = rows.join(wanted, F.col("doc_id") == F.col("doc"), "left_semi").dropDuplicates(["doc_id"])
-    sets = scratch.keep(texts.select("doc_id", "text").mapInArrow(_sets(size), "doc long, shingles binary"), "sets")
+    wanted = classes.join(lists.select("doc").distinct(), "doc", "left_semi").select("doc", F.col("least").alias("doc_id"), "set_key")
+    texts = rows.join(wanted.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    made = texts.select("doc_id", "text").mapInArrow(_sets(size), "doc_id long, set_key binary, shingles binary")
+    sets = made.join(wanted, ["doc_id", "set_key"]).dropDuplicates(["doc"]).select("doc", "shingles")
+    sets = scratch.keep(sets, "sets")
 
     found = None  # (u, v) links
     labels = None
@@ -304,9 +309,11 @@ def near_dedup(docs: DataFrame, size: int = 5, percent: int = 80, n: int = 48, t
         labels = scratch.keep(components(more.toDF("u", "v")), "labels")
 
     if labels is not None:
-        classes = classes.join(labels, classes["doc"] == labels["node"], "left").select("set_key", F.coalesce("component", "doc").alias("component"))
+        least = classes.select(F.col("doc").alias("node"), "least").join(labels, "node").groupBy("component").agg(F.min("least").alias("first"))
+        named = labels.join(least, "component").select(F.col("node").alias("doc"), "first")
+        classes = classes.join(named, "doc", "left").select("set_key", F.coalesce("first", "least").alias("component"))
     else:
-        classes = classes.select("set_key", F.col("doc").alias("component"))
+        classes = classes.select("set_key", F.col("least").alias("component"))
     out = features.join(classes.withColumn("has", F.lit(1)), "set_key", "left")
     component = F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component"))).otherwise(F.col("doc_id"))
     out = out.select("doc_id", "n_shingles", component.alias("component_id"))
