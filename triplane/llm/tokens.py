@@ -8,7 +8,9 @@ surrounds them, so that the ids of a text are the ids of its pieces in order:
   single digits and signs never share a token; ``'`` starts contractions, ``< | >`` special tokens),
 * between two ASCII digits.
 
-Each distinct piece is encoded once a worker by the tokenizer itself; everything else is numpy.
+Each distinct piece is encoded once a worker by the tokenizer itself; everything else is numpy.  Pieces
+are told apart without case, as the tokenizer lower-cases them, but for those with ``<|``: special
+tokens are matched by case before that.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ for _a in (_LETTER, _DIGIT, _SIGN, _SPACE, _OTHER):
     for _b in (_LETTER, _DIGIT, _SIGN, _SPACE, _OTHER):
         _CUT[8 * _a + _b] = (_a != _b and (_SPACE in (_a, _b) or _OTHER not in (_a, _b))) or _a == _b == _DIGIT
 _PLACE = np.uint64(64 - 21)
-#: Pieces over this many bytes are named by a digest instead of the rolling hash.
+#: Pieces over this many bytes, or with ``<|``, are named by a digest of their exact bytes instead of the rolling hash.
 _LONG = 256
 #: Words encoded by one call.
 _RUN = 2000
@@ -113,7 +115,11 @@ class Encoder:
         real = kind[starts] != _SPACE
         starts, ends = starts[real], ends[real]
         keys = Prefix(buf, LOWER_VALUES).hash(starts, ends)
-        for k in np.flatnonzero(ends - starts > _LONG).tolist():
+        exact = ends - starts > _LONG
+        opens = np.flatnonzero((buf[:-1] == 60) & (buf[1:] == 124))
+        at = np.searchsorted(starts, opens, "right") - 1  # signs are in a piece, always
+        exact[at[opens + 1 < ends[at]]] = True
+        for k in np.flatnonzero(exact).tolist():
             digest = hashlib.blake2b(buf[starts[k] : ends[k]].tobytes(), digest_size=8).digest()
             keys[k] = np.frombuffer(digest, np.uint64)[0]
         place = (keys >> _PLACE).astype(np.int64)
