@@ -7,9 +7,9 @@ product over its words.  Probabilities are fitted by expectation-maximisation (f
 counts of a bounded, documented sample of labelled documents per language (``bound``: the expected
 number, taken by a hash of doc_id).
 
-Words are runs of ASCII letters (A-Z lower-cased) and non-ASCII bytes; words over REACH bytes are scored as
-consecutive parts, so whole texts count.  The score is the posterior of the best language under
-equal priors.
+Words are runs of ASCII letters (A-Z lower-cased) and non-ASCII bytes and are never cut: those over REACH
+bytes, whose likelihoods could be too small for a double, are summed in logarithms over blocks of
+positions.  The score is the posterior of the best language under equal priors.
 
 Defined results: null text and text without a letter give ``und`` with score 0; without any training
 row every text is ``und``; ties go to the first language by name; rows with a null lang do not
@@ -29,6 +29,8 @@ from triplane.llm import scratch
 from triplane.llm.words import ALPHA, LOWER_VALUES, Lookup, Prefix, Words, chunks
 
 REACH = 32
+#: Bytes of long words, times words, whose forward values are held at once when scoring, about; a longer word is fitted alone.
+LATTICE = 1 << 16
 _U = np.uint64
 _START = _U(0xA0761D6478BD642F)
 _FLOOR = 1e-9
@@ -105,13 +107,85 @@ class Lattice:
         return out
 
 
-def _parts(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(start, length, begins a word, word number) of words cut at REACH bytes."""
-    length = words.ends - words.starts
-    n = -(-length // REACH)
-    word = np.repeat(np.arange(len(length)), n)
-    k = np.arange(len(word)) - np.repeat(np.cumsum(n) - n, n)
-    return words.starts[word] + k * REACH, np.minimum(length[word] - k * REACH, REACH), k == 0, word
+def _long_edges(vocabulary: Vocabulary, buf: np.ndarray, prefix: Prefix, starts: np.ndarray, lengths: np.ndarray, low: int, high: int):
+    """Pieces of words that end over ``low`` and up to ``high`` bytes into them: (end, length, word, piece), by end and length."""
+    n = np.clip(lengths - low, 0, high - low)
+    rows = np.repeat(np.arange(len(n)), n)
+    ends = low + 1 + np.arange(len(rows)) - np.repeat(np.cumsum(n) - n, n)
+    found = [(ends, np.ones(len(rows), np.int64), rows, len(vocabulary.table.keys) + buf[starts[rows] + ends - 1].astype(np.int64))]
+    for length in range(2, vocabulary.longest + 1):
+        fits = np.flatnonzero(ends >= length)
+        a = starts[rows[fits]] + ends[fits] - length
+        h = prefix.hash(a, a + length)
+        at, piece = vocabulary.table.find(np.where(ends[fits] == length, h ^ _START, h))
+        found.append((ends[fits[at]], np.full(len(at), length), rows[fits[at]], piece))
+    flat = [np.concatenate(x) for x in zip(*found, strict=True)]
+    order = np.lexsort((flat[1], flat[0]))
+    return [x[order] for x in flat]
+
+
+def _groups(ends: np.ndarray, sizes: np.ndarray) -> list[tuple[int, int]]:
+    """Runs of edges with one end and length; a word is in each at most once."""
+    edge = np.flatnonzero((np.diff(ends) != 0) | (np.diff(sizes) != 0)) + 1
+    return list(zip([0, *edge.tolist()], [*edge.tolist(), len(ends)], strict=True)) if len(ends) else []
+
+
+def _batches(lengths: np.ndarray) -> Iterator[np.ndarray]:
+    """Words of like length, of LATTICE bytes together or one word."""
+    order = np.argsort(lengths, kind="stable")
+    first = 0
+    while first < len(order):
+        end = first + 1
+        while end < len(order) and (end + 1 - first) * lengths[order[end]] <= LATTICE:
+            end += 1
+        yield order[first:end]
+        first = end
+
+
+def long_totals(vocabulary: Vocabulary, buf: np.ndarray, prefix: Prefix, starts: np.ndarray, lengths: np.ndarray, log_p: np.ndarray) -> np.ndarray:
+    """Logarithms of the sums over all segmentations of whole words; the forward values of one block are held at a time."""
+    out = np.zeros((len(starts), log_p.shape[1]))
+    reach = vocabulary.longest
+    for own in _batches(lengths):
+        begin, size = starts[own], lengths[own]
+        step = max(reach, LATTICE // len(own))
+        step = min(step, int(size.max()))
+        alpha = np.full((reach + step + 1, len(own), log_p.shape[1]), -np.inf)  # from ``reach`` before the block to its end
+        alpha[reach] = 0
+        for low in range(0, int(size.max()), step):
+            ends, sizes, rows, pieces = _long_edges(vocabulary, buf, prefix, begin, size, low, low + step)
+            for a, b in _groups(ends, sizes):
+                at, r = int(ends[a]) - low + reach, rows[a:b]
+                alpha[at, r] = np.logaddexp(alpha[at, r], alpha[at - int(sizes[a]), r] + log_p[pieces[a:b]])
+            done = np.flatnonzero((size > low) & (size <= low + step))
+            out[own[done]] = alpha[size[done] - low + reach, done]
+            alpha[: reach + 1] = alpha[step:].copy()
+            alpha[reach + 1 :] = -np.inf
+    return out
+
+
+def long_expected(vocabulary: Vocabulary, buf: np.ndarray, prefix: Prefix, starts: np.ndarray, lengths: np.ndarray, log_p: np.ndarray, where: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Expected uses of every piece in whole words, each of one language and with its count."""
+    out = np.zeros_like(log_p)
+    for own in _batches(lengths):
+        size, lang = lengths[own], where[own]
+        ends, sizes, rows, pieces = _long_edges(vocabulary, buf, prefix, starts[own], size, 0, int(size.max()))
+        p, groups = log_p[pieces, lang[rows]], _groups(ends, sizes)
+        alpha = np.full((int(size.max()) + 1, len(own)), -np.inf)
+        beta = alpha.copy()
+        alpha[0] = 0
+        for a, b in groups:
+            at, r = int(ends[a]), rows[a:b]
+            alpha[at, r] = np.logaddexp(alpha[at, r], alpha[at - int(sizes[a]), r] + p[a:b])
+        whole = alpha[size, np.arange(len(own))]
+        beta[size, np.arange(len(own))] = 0
+        for a, b in reversed(groups):
+            at, r = int(ends[a]), rows[a:b]
+            back = at - int(sizes[a])
+            beta[back, r] = np.logaddexp(beta[back, r], beta[at, r] + p[a:b])
+        flow = np.exp(alpha[ends - sizes, rows] + p + beta[ends, rows] - whole[rows]) * counts[own][rows]
+        np.add.at(out, (pieces, lang[rows]), flow)
+    return out
 
 
 class Model:
@@ -124,16 +198,17 @@ class Model:
         out = np.zeros((len(offsets) - 1, len(self.languages)))
         if not len(words.starts):
             return out
-        starts, lengths, begins, word = _parts(words)
-        keys = words.prefix.hash(starts, starts + lengths)
-        keys = np.where(begins, keys ^ _START, keys)
-        _, first, back = np.unique(keys, return_index=True, return_inverse=True)
+        starts, lengths = words.starts, words.ends - words.starts
+        _, first, back = np.unique(words.hashes, return_index=True, return_inverse=True)
         value = np.zeros((len(first), len(self.languages)))
-        for s in range(0, len(first), 16384):
-            at = first[s : s + 16384]
-            lattice = Lattice(self.vocabulary, buf, words.prefix, starts[at], lengths[at], begins[at])
-            value[s : s + 16384] = np.log(np.maximum(lattice.totals(self.probability), 1e-300))
-        text = np.searchsorted(words.docs, word, "right") - 1
+        short = np.flatnonzero(lengths[first] <= REACH)
+        for s in range(0, len(short), 16384):
+            at = first[short[s : s + 16384]]
+            lattice = Lattice(self.vocabulary, buf, words.prefix, starts[at], lengths[at], np.ones(len(at), bool))
+            value[short[s : s + 16384]] = np.log(np.maximum(lattice.totals(self.probability), 1e-300))
+        if len(long := np.flatnonzero(lengths[first] > REACH)):
+            value[long] = long_totals(self.vocabulary, buf, words.prefix, starts[first[long]], lengths[first[long]], np.log(self.probability))
+        text = np.searchsorted(words.docs, np.arange(len(starts)), "right") - 1
         for k in range(len(self.languages)):
             out[:, k] = np.bincount(text, value[back, k], len(out))
         return out
@@ -161,11 +236,15 @@ def fit(docs: DataFrame, vocabulary: str, lang: str = "lang", bound: int = 400,
             where = np.array([languages.index(r["lang"]) for r in part])
             for first, end, buf, offsets in chunks(pa.array([r["word"] for r in part])):
                 words = Words(buf, offsets, ALPHA)
-                starts, lengths, begins, word = _parts(words)
-                text = np.searchsorted(words.docs, word, "right") - 1 + first
-                counts = np.zeros((len(starts), len(languages)))
-                counts[np.arange(len(starts)), where[text]] = [part[k]["n"] for k in text.tolist()]
-                total += Lattice(pieces, buf, words.prefix, starts, lengths, begins).expected(probability, counts)
+                starts, lengths = words.starts, words.ends - words.starts
+                text = np.searchsorted(words.docs, np.arange(len(starts)), "right") - 1 + first
+                uses = np.array([part[k]["n"] for k in text.tolist()], float)
+                short, long = np.flatnonzero(lengths <= REACH), np.flatnonzero(lengths > REACH)
+                counts = np.zeros((len(short), len(languages)))
+                counts[np.arange(len(short)), where[text[short]]] = uses[short]
+                total += Lattice(pieces, buf, words.prefix, starts[short], lengths[short], np.ones(len(short), bool)).expected(probability, counts)
+                if len(long):
+                    total += long_expected(pieces, buf, words.prefix, starts[long], lengths[long], np.log(probability), where[text[long]], uses[long])
         probability = (total + 0.01) / (total + 0.01).sum(axis=0)
         probability = np.maximum(probability, _FLOOR)
     return Model(pieces, languages, probability)
