@@ -11,8 +11,9 @@ the last return the columns of ``documents``:
 * packing returns the packed pieces of what is left.
 
 near_dedup and decontaminate judge every row by itself, under a row key, also where doc_id is null or
-repeated; of a near-duplicate group the row with the least doc_id stays (null is last).  Empty input
-gives empty output.
+repeated; of a near-duplicate group the row with the least doc_id stays (null is last).  Texts are read
+whole, however long; null and letterless texts go in the first stage; further columns of
+``documents``, whatever their names, are left behind by the first stage.  Empty input gives empty output.
 """
 
 from __future__ import annotations
@@ -77,7 +78,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         docs = scratch.keep(stage(spark, docs, sf_dir), name)
+        scratch.forget(before)
+        before = docs
     return docs

@@ -5,7 +5,8 @@ with every single byte as a fallback) get one probability per language.  A word'
 the sum over all its segmentations into pieces, computed by the forward algorithm; a text's is the
 product over its words.  Probabilities are fitted by expectation-maximisation (forward-backward) on word
 counts of a bounded, documented sample of labelled documents per language (``bound``: the expected
-number, taken by a hash of doc_id).
+number, taken by a hash of doc_id and text; ``most_bytes``: the expected bytes, beyond which a hash takes
+words of the sampled texts), so what the driver gathers is bounded too.
 
 Words are runs of ASCII letters (A-Z lower-cased) and non-ASCII bytes and are never cut: those over REACH
 bytes, whose likelihoods could be too small for a double, are summed in logarithms over blocks of
@@ -13,7 +14,7 @@ positions.  The score is the posterior of the best language under equal priors.
 
 Defined results: null text and text without a letter give ``und`` with score 0; without any training
 row every text is ``und``; ties go to the first language by name; rows with a null lang do not
-train; existing columns named as the new ones are replaced.
+train; repeated rows are judged alike; columns named as the new ones, in any case, are replaced.
 """
 
 from __future__ import annotations
@@ -214,8 +215,8 @@ class Model:
         return out
 
 
-def fit(docs: DataFrame, vocabulary: str, lang: str = "lang", bound: int = 400, rounds: int = 4) -> Model:
-    """Fit on about ``bound`` documents of each language."""
+def fit(docs: DataFrame, vocabulary: str, lang: str = "lang", bound: int = 400, rounds: int = 4, most_bytes: int = 8 << 20) -> Model:
+    """Fit on about ``bound`` documents, and at most about ``most_bytes``, of each language."""
     known = docs.where(F.col(lang).isNotNull() & F.col("text").isNotNull())
     many = {r[lang]: r["n"] for r in known.groupBy(lang).agg(F.count("*").alias("n")).collect()}
     languages = sorted(many)
@@ -226,8 +227,12 @@ def fit(docs: DataFrame, vocabulary: str, lang: str = "lang", bound: int = 400,
     pick = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30))
     share = F.create_map(*[x for k, n in many.items() for x in (F.lit(k), F.lit(int(min(1.0, bound / n) * (1 << 30))))])
     sample = known.where(pick < share[F.col(lang)])
+    sizes = {r[0]: r[1] for r in sample.groupBy(F.col(lang)).agg(F.sum(F.octet_length("text"))).collect()}
+    words = F.create_map(*[x for k in languages for x in (F.lit(k), F.lit(int(min(1.0, most_bytes / max(1, sizes.get(k) or 1)) * (1 << 30))))])
     runs = F.split(F.regexp_replace("text", r"[^A-Za-z\x{80}-\x{10FFFF}]+", " "), " ")
-    counted = sample.select(F.col(lang).alias("lang"), F.explode(runs).alias("word")).where("word <> ''").groupBy("lang", "word").agg(F.count("*").alias("n"))
+    spread = sample.select(F.col(lang).alias("lang"), F.xxhash64("doc_id", "text").alias("row"), F.posexplode(runs).alias("at", "word")).where("word <> ''")
+    spread = spread.where(F.pmod(F.xxhash64("row", "at"), F.lit(1 << 30)) < words[F.col("lang")])
+    counted = spread.groupBy("lang", "word").agg(F.count("*").alias("n"))
     rows = counted.collect()
     for _ in range(rounds):
         total = np.zeros_like(probability)
@@ -282,8 +287,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     """All columns of docs plus lang_pred and score."""
     scratch.ship(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)  # vocabulary size * languages numbers
-    columns = [c for c in docs.columns if c not in ("lang_pred", "score", "_lettered")]
-    rows = docs.select(*[F.col(f"`{c}`") for c in columns])
-    schema = rows.schema.add("lang_pred", "string").add("score", "double")
-    rows = rows.withColumn("_lettered", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    return rows.mapInArrow(_identify(held, columns.index("text")), schema)
+    columns = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(columns)], F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("lettered"))
+    schema = rows.drop("lettered").schema.add("lang_pred", "string").add("score", "double")
+    return rows.mapInArrow(_identify(held, [c.lower() for c in columns].index("text")), schema).toDF(*columns, "lang_pred", "score")

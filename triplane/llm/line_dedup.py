@@ -5,11 +5,14 @@ built and merged by aggregation; an estimate clear of the threshold decides, and
 get exact distinct counts.  A spread line stays once, at its smallest (doc_id, position), and goes
 everywhere else; texts are put together again from the lines that stay.
 
-Defined results: a null text has no lines and stays null; lines that are blank after trimming are
+Defined results: a null text has no lines and stays null; empty lines and lines of spaces alone are
 never removed; a null source is no site, a null doc_id sorts after all ids; rows that repeat both
 doc_id and text are treated alike, so a first place stays in each of them.  A document left without
-lines has the empty text.  An empty table gives no rows.  All input columns pass through unchanged
-but for ``text``; the operator's own columns are ``n_lines``, ``n_removed``.
+lines has the empty text.  An empty table gives no rows.  All input columns pass through unchanged,
+whatever their names, but for ``text``; the operator's own columns ``n_lines`` and ``n_removed``
+replace input columns of these names in any case.
+
+Rows are told apart by a 128-bit digest of doc_id and text, made once a row.
 """
 
 from __future__ import annotations
@@ -49,13 +52,12 @@ def spread_lines(lines: DataFrame, min_sites: int) -> DataFrame:
 
 def line_dedup(docs: DataFrame, min_sites: int = 10, site: str = "source") -> DataFrame:
     """All input columns with ``text`` without repeated spread lines, plus n_lines and n_removed."""
-    key = F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text")
-    lines = docs.where(F.col("text").isNotNull()).select(
-        F.col(site).alias("site"),
-        F.col("doc_id").cast("long").alias("doc"),
-        key.alias("row_key"),
-        F.posexplode(F.split("text", "\n", -1)).alias("pos", "content"),
-    )
+    own = ("n_lines", "n_removed")
+    columns = [c for c in docs.columns if c.lower() not in own]
+    row_key, gone_at = scratch.unused(docs.columns, "row_key", "gone")
+    key = F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("text"))))
+    rows = docs.where(F.col("text").isNotNull()).select(F.col(f"`{site}`").alias("site"), F.col("doc_id").cast("long").alias("doc"), key.alias("row_key"), F.split("text", "\n", -1).alias("parts"))
+    lines = rows.select("site", "doc", "row_key", F.posexplode("parts").alias("pos", "content"))
     lines = lines.where(F.trim("content") != "").select(
         F.unhex(F.md5("content")).alias("line"),
         "site",
@@ -64,15 +66,13 @@ def line_dedup(docs: DataFrame, min_sites: int = 10, site: str = "source") -> Da
     spread = spread_lines(lines, min_sites)
     hits = lines.join(spread, "line").where(F.col("place") != F.col("first"))
     # Rows that repeat doc_id and text give the same places again: a set holds each once.
-    gone = hits.groupBy(F.col("place.row_key").alias("_k")).agg(F.collect_set("place.pos").alias("_gone"))
-    split = F.split("text", "\n", -1)
-    rest = F.filter(split, lambda _, i: ~F.array_contains("_gone", i))
-    own = ["n_lines", "n_removed"]
-    columns = [c for c in docs.columns if c not in own]
-    out = docs.select(*columns).withColumn("_k", key).join(gone, "_k", "left")
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(rest, "\n"))
+    gone = hits.groupBy(F.col("place.row_key").alias(row_key)).agg(F.collect_set("place.pos").alias(gone_at))
+    split, at = F.split("text", "\n", -1), F.col(gone_at)
+    rest = F.filter(split, lambda _, i: ~F.array_contains(at, i))
+    out = docs.select(*[F.col(f"`{c}`") for c in columns], key.alias(row_key)).join(gone, row_key, "left")
+    text = F.when(at.isNull(), F.col("text")).otherwise(F.array_join(rest, "\n"))
     return out.select(
-        *[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in columns],
+        *[text.alias(c) if c.lower() == "text" else F.col(f"`{c}`") for c in columns],
         F.when(F.col("text").isNull(), 0).otherwise(F.size(split)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce(F.size(at), F.lit(0)).cast("long").alias("n_removed"),
     )

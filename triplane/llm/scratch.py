@@ -2,8 +2,8 @@
 
 Intermediate results that are read more than once are written as Parquet below the folder that
 ``spark.checkpoint.dir`` names (shared by driver and executors), so a lost executor costs a reread
-of files, never a recomputation of the whole lineage.  Where the setting is absent (tests), a
-temporary folder is made and set.
+of files, never a recomputation of the whole lineage.  Where the setting is absent, a session on
+local threads (tests) gets a temporary folder; on a cluster that is an error.
 """
 
 from __future__ import annotations
@@ -12,7 +12,6 @@ import atexit
 import os
 import shutil
 import tempfile
-import uuid
 import zipfile
 from pathlib import Path
 
@@ -20,43 +19,43 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from triplane.sources.storage import drop, fresh
+
 _SHIPPED = "_triplane_shipped"
 #: Bytes of one Arrow batch handed to a Python worker; a batch ends with the row that passes it.
 BATCH_BYTES = 8 << 20
 
 
-def folder(spark: SparkSession) -> str:
-    """The shared scratch folder of the session."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="triplane-scratch-")
-        spark.conf.set("spark.checkpoint.dir", root)
-        atexit.register(shutil.rmtree, root.removeprefix("file://"), ignore_errors=True)
-    return root.rstrip("/")
-
-
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder; it goes when the driver's Python ends."""
-    path = f"{folder(spark)}/llm-{name}-{uuid.uuid4().hex}"
-    atexit.register(drop, spark, path)
-    return path
+    return fresh(spark, f"llm-{name}")
 
 
-def drop(spark: SparkSession, path: str) -> None:
-    """Delete a scratch path; an ended session is no error."""
-    try:
-        jvm = spark.sparkContext._jvm
-        place = jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
-    except Exception:  # noqa: BLE001  the session is gone: nothing is left to clean with
-        pass
+def unused(columns: list[str], *names: str) -> list[str]:
+    """Names like these that no column has in any case."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: lineage ends here."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.kept_at = path
+    return out
+
+
+def forget(*tables: DataFrame | None) -> None:
+    """Delete kept tables that nothing reads any more: what was made of them has been written."""
+    for df in tables:
+        if df is not None:
+            drop(df.sparkSession, df.kept_at)
 
 
 def ship(spark: SparkSession) -> None:

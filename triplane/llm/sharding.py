@@ -4,23 +4,29 @@ Groups of equal texts are the points; a group weighs the bytes of all its docume
 the text's size (log scale) and the group's source and language (as stable positions in [0, 1)); a
 node is cut along its widest dimension at the weighted quantile that its leaf counts ask for, level by
 level, until every node is one leaf of the target bytes.  Medians are found by refining
-histograms: each round one aggregation over all nodes of the level narrows each node's cut by
-``2**BITS``; the driver sees at most nodes * 2**BITS sums.  Points that tie in a dimension are ordered by
-their text's hash, so a value that a third of all bytes share is cut as finely as any other.
+histograms: each round one aggregation over all nodes of the level, and running sums over a node's
+at most ``2**BITS`` bins, narrow each node's cut by ``2**BITS``.  Nodes, histograms and cuts are tables;
+the driver sees only the number of open nodes, so the number of leaves may grow with the input.  Points
+that tie in a dimension are ordered by their text's hash, so a value that a third of all bytes
+share is cut as finely as any other.
 
 Defined results: null text weighs 8 bytes and is one group with the empty text; null source or
 language is a value of its own; repeated rows are separate documents of one group; null doc_ids
-are kept.  Fewer groups than shards leave shards empty.  An empty table gives no rows.
+are kept; other columns are ignored.  Fewer groups than shards leave shards empty.  An empty table
+gives no rows.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from triplane.llm import scratch
 
-BITS, ROUNDS = 10, 4
+BITS, ROUNDS = 21, 2
 _KEY_BITS = BITS * ROUNDS
 _GROUP = ["size", "text_crc32", "text_hash"]
 
@@ -29,64 +35,77 @@ def _unit(c: Column) -> Column:
     return F.coalesce(F.crc32(c.cast("binary")), F.lit(0)) / F.lit(float(1 << 32))
 
 
-def _node_case(choices: dict[int, Column], other: Column) -> Column:
-    out = other
-    for node, value in choices.items():
-        out = F.when(F.col("node") == node, value).otherwise(out)
-    return out
+def _cut_bins(bins: DataFrame) -> DataFrame:
+    """Each node's bin that holds its goal (or its last one): node, key, before, last.
 
+    ``bins`` has node, key (so far), w (a bin's weight), before (the weight under all bins) and goal.
+    """
+    order = Window.partitionBy("node").orderBy("key")
+    upto = bins.select("node", "key", "w", "goal", (F.col("before") + F.sum("w").over(order)).alias("upto"))
+    # The first bin that passes the goal; without one the last bin.
+    rank = F.struct((F.col("upto") <= F.col("goal")).alias("under"), F.when(F.col("upto") > F.col("goal"), F.col("key")).otherwise(-F.col("key")))
+    return upto.groupBy("node").agg(F.min_by(F.struct("key", (F.col("upto") - F.col("w")).alias("before"), F.col("w").alias("last")), rank).alias("b")).select("node", "b.*")
 
-def tree_shards(groups: DataFrame, dims: list[str], shards: int) -> DataFrame:
-    """Add ``shard`` to groups (columns: dims in [0, 1], weight, text_hash)."""
+
+def _level(groups: DataFrame, nodes: DataFrame, dims: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Cut every node of several shards and points once: (groups, nodes)."""
     half = _KEY_BITS // 2
-    tie = F.shiftrightunsigned("text_hash", 64 - half)
-    groups = groups.withColumn("node", F.lit(0))
-    leaves = {0: (0, shards)}  # node: its first shard and its number of shards
-    while any(n > 1 for _, n in leaves.values()):
-        open_ = [k for k, (_, n) in leaves.items() if n > 1]
-        at = groups.where(F.col("node").isin(open_))
-        stats = {r["node"]: r for r in at.groupBy("node").agg(F.sum("weight").alias("w"), *[F.min(d).alias(f"lo_{d}") for d in dims], *[F.max(d).alias(f"hi_{d}") for d in dims]).collect()}
-        keys, goals = {}, {}
-        for node in open_:
-            r = stats.get(node)
-            if r is None:
-                continue
-            dim = max(dims, key=lambda d: r[f"hi_{d}"] - r[f"lo_{d}"])
-            lo, width = r[f"lo_{dim}"], max(r[f"hi_{dim}"] - r[f"lo_{dim}"], 1e-12)
-            place = F.least(F.floor((F.col(dim) - lo) / width * (1 << half)), F.lit((1 << half) - 1)).cast("long")
-            keys[node] = F.shiftleft(place, half).bitwiseOR(tie)
-            left = leaves[node][1] // 2
-            goals[node] = [0, 0, r["w"] * left / leaves[node][1], r["w"]]  # key found so far, weight before it, goal, all
-        key = _node_case(keys, F.lit(None).cast("long"))
-        keyed = at.where(F.col("node").isin(list(keys))).select("node", "weight", key.alias("key"))
-        for k in range(1, ROUNDS + 1):
-            shift = _KEY_BITS - k * BITS
-            known = _node_case({n: F.lit(g[0]).cast("long") for n, g in goals.items()}, F.lit(-1).cast("long"))
-            part = keyed.where(F.shiftright("key", shift + BITS) == known) if k > 1 else keyed
-            bins: dict[int, dict[int, int]] = {}
-            for r in part.groupBy("node", F.shiftright("key", shift).alias("bin")).agg(F.sum("weight").alias("w")).collect():
-                bins.setdefault(r["node"], {})[r["bin"]] = r["w"]
-            for node, goal in goals.items():
-                for b in sorted(bins.get(node, {})):
-                    if goal[1] + bins[node][b] > goal[2] or b == max(bins[node]):
-                        break
-                    goal[1] += bins[node][b]
-                goal[0] = b
-                last = bins[node][b]
-        cuts, after = {}, {k: v for k, v in leaves.items() if v[1] == 1}
-        for node, (found, before, goal, total) in goals.items():
-            last = bins[node][found]
-            if before == 0 or before + last < total and abs(before + last - goal) < abs(before - goal):  # the boundary bin goes to the nearer side
-                found, before = found + 1, before + last
-            start, n = leaves[node]
-            share = round(n * before / total) if total else n // 2
-            left = min(max(share, 1), n - 1)
-            cuts[node] = F.when(key < found, 2 * node + 1).otherwise(2 * node + 2)
-            after |= {2 * node + 1: (start, left), 2 * node + 2: (start + left, n - left)}
-        groups = scratch.keep(groups.withColumn("node", _node_case(cuts, F.col("node"))), "nodes")
-        leaves = after
-    shard = _node_case({k: F.lit(s) for k, (s, _) in leaves.items()}, F.lit(0))
-    return groups.withColumn("shard", shard.cast("int")).drop("node")
+    at = groups.join(nodes.where("shards > 1"), "node")
+    spans = [F.max(d) - F.min(d) for d in dims]
+    widest = F.greatest(*spans)
+    which = reduce(lambda x, kd: x.when(spans[kd[0]] == widest, kd[0]), list(enumerate(dims))[1:], F.when(spans[0] == widest, 0))
+    lows = reduce(lambda x, kd: x.when(spans[kd[0]] == widest, F.min(kd[1])), list(enumerate(dims))[1:], F.when(spans[0] == widest, F.min(dims[0])))
+    stats = at.groupBy("node", "first", "shards").agg(which.alias("dim"), lows.alias("lo"), F.greatest(widest, F.lit(1e-12)).alias("width"), F.sum("weight").cast("double").alias("total"), F.count("*").alias("points"))
+    stats = scratch.keep(stats.where("points > 1").withColumn("goal", F.col("total") * F.floor(F.col("shards") / 2) / F.col("shards")), "cuts")
+    value = reduce(lambda x, kd: x.when(F.col("dim") == kd[0], F.col(kd[1])), list(enumerate(dims))[1:], F.when(F.col("dim") == 0, F.col(dims[0])))
+    place = F.least(F.floor((value - F.col("lo")) / F.col("width") * (1 << half)), F.lit((1 << half) - 1)).cast("long")
+    key = F.shiftleft(place, half).bitwiseOR(F.shiftrightunsigned("text_hash", 64 - half))
+    keyed = groups.join(stats.select("node", "dim", "lo", "width", "goal"), "node").withColumn("spot", key)
+    found = None
+    for k in range(1, ROUNDS + 1):
+        shift = _KEY_BITS - k * BITS
+        part = keyed.withColumn("key", F.shiftright("spot", shift))
+        if found is None:
+            bins = part.groupBy("node", "key").agg(F.sum("weight").cast("double").alias("w"), F.min("goal").alias("goal")).withColumn("before", F.lit(0.0))
+        else:
+            known = found.select(F.col("node").alias("n2"), F.col("key").alias("k2"), "before")
+            part = part.join(known, (F.col("node") == F.col("n2")) & (F.shiftright("spot", shift + BITS) == F.col("k2")))
+            bins = part.groupBy("node", "key").agg(F.sum("weight").cast("double").alias("w"), F.min("goal").alias("goal"), F.min("before").alias("before"))
+        now = scratch.keep(_cut_bins(bins), "bins")
+        scratch.forget(found)
+        found = now
+    # The boundary bin goes to the nearer side; shards follow the bytes, at least one a side.
+    nearer = (F.col("before") + F.col("last") < F.col("total")) & (F.abs(F.col("before") + F.col("last") - F.col("goal")) < F.abs(F.col("before") - F.col("goal")))
+    over = (F.col("before") == 0) | nearer
+    below = F.when(over, F.col("before") + F.col("last")).otherwise(F.col("before"))
+    cuts = found.join(stats, "node").withColumn("cut", F.when(over, F.col("key") + 1).otherwise(F.col("key")))
+    cuts = cuts.withColumn("left", F.greatest(F.lit(1), F.least(F.col("shards") - 1, F.round(F.col("shards") * below / F.col("total")).cast("int"))))
+    cuts = cuts.select("node", "dim", "lo", "width", "first", "shards", "cut", "left")
+    side = F.when(key < F.col("cut"), 2 * F.col("node") + 1).otherwise(2 * F.col("node") + 2)
+    moved = groups.join(cuts.select("node", "dim", "lo", "width", "cut"), "node", "left")
+    moved = scratch.keep(moved.select(*[c for c in groups.columns if c != "node"], F.when(F.col("cut").isNull(), F.col("node")).otherwise(side).alias("node")), "nodes")
+    halves = cuts.select(F.explode(F.array(
+        F.struct((2 * F.col("node") + 1).alias("node"), F.col("first"), F.col("left").alias("shards")),
+        F.struct((2 * F.col("node") + 2).alias("node"), (F.col("first") + F.col("left")).alias("first"), (F.col("shards") - F.col("left")).alias("shards")),
+    )).alias("n")).select("n.*")
+    after = scratch.keep(nodes.join(stats.select("node"), "node", "left_anti").unionByName(halves), "tree")
+    scratch.forget(stats, found)
+    return moved, after
+
+
+def tree_shards(groups: DataFrame, dims: list[str], shards: int) -> DataFrame:
+    """Add ``shard`` to groups (a kept table; columns: dims in [0, 1], weight, text_hash)."""
+    groups = groups.withColumn("node", F.lit(0).cast("long"))
+    nodes = groups.sparkSession.createDataFrame([(0, 0, shards)], "node long, first int, shards int")
+    open_ = shards > 1
+    while open_:
+        before = groups, nodes
+        groups, nodes = _level(groups, nodes, dims)
+        scratch.forget(*[x for x in before if hasattr(x, "kept_at")])
+        # A node of one point or none (fewer groups than shards) has nothing to cut.
+        left = groups.join(nodes.where("shards > 1"), "node", "left_semi").groupBy("node").agg(F.count("*").alias("n"))
+        open_ = left.where("n > 1").limit(1).count() > 0
+    return groups.join(nodes.select("node", F.col("first").alias("shard")), "node").drop("node")
 
 
 def shard_documents(docs: DataFrame, shards: int | None = 24, target_bytes: int = 1 << 30) -> DataFrame:
@@ -106,6 +125,8 @@ def shard_documents(docs: DataFrame, shards: int | None = 24, target_bytes: int
     groups = rows.groupBy(*_GROUP).agg(F.sum("size").alias("weight"), F.min("by_source").alias("by_source"), F.min("by_lang").alias("by_lang"))
     groups = groups.withColumn("by_size", F.least(F.log2("size") / 40, F.lit(1.0)))
     placed = tree_shards(scratch.keep(groups, "groups"), ["by_source", "by_lang", "by_size"], shards)
-    rows = scratch.keep(rows.select("doc_id", *_GROUP).join(placed.select(*_GROUP, "shard"), _GROUP), "placed")
+    sizes = rows
+    rows = scratch.keep(sizes.select("doc_id", *_GROUP).join(placed.select(*_GROUP, "shard"), _GROUP), "placed")
+    scratch.forget(sizes)
     out = scratch.ranked(rows, "shard", ["doc_id", *_GROUP], "slot")
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
