@@ -136,9 +136,10 @@ def clusters(rows, size, percent):
     return {d: (len(own[d]), find(d)) for d in own}
 
 
-@pytest.mark.parametrize("block", [512, 4])
-def test_near_dedup(spark, docs, empty, block, monkeypatch):
+@pytest.mark.parametrize(("block", "hot"), [(512, 4096), (4, 3)])
+def test_near_dedup(spark, docs, empty, block, hot, monkeypatch):
     monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(near_dedup, "HOT", hot)
     rng = random.Random(5)
     group = [f"w{k}" for k in range(60)]
     more = [(1000 + k, " ".join(rng.choice("xyz") + str(k) if rng.random() < 0.06 else w for w in group)) for k in range(40)]

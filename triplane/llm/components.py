@@ -25,7 +25,8 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node in edges (u, v); the component is its smallest node."""
     now, seen = scratch.keep(edges.select("u", "v").where("u <> v").distinct(), "edges"), None
     while True:
-        now = scratch.keep(_small_star(_large_star(now)), "edges")
+        before, now = now, scratch.keep(_small_star(_large_star(now)), "edges")
+        scratch.forget(before)
         mark = tuple(now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first())
         if mark == seen:
             break

@@ -13,7 +13,13 @@
    pair of different components with t or more collisions is tested, in the list of its rarest common
    token alone, and only links leave the block.  No list is capped and no pair is emitted
    unless it is a link or a leader's candidate.
-4. Components are closed over the links.
+4. A list over HOT documents (texts that share a template, but are no near duplicates) would make too many
+   block pairs.  Its documents are posted anew under their rarest full-set shingles: two sets of
+   similarity p share one of each side's (1 - p) * size + 1 rarest, in one order by rarity among these
+   documents.  Shingles of one document fill that prefix without being posted, so a text with a share of
+   its own over 1 - p meets nobody, and the new lists are those of true candidates; they go through blocks
+   as above.  This loses no link.
+5. Components are closed over the links.
 
 Two texts at the similarity threshold 0.85 agree in each coordinate with probability 0.85; with n = 48
 and t = 29 fewer than 2 in 100,000 such pairs miss the match threshold.
@@ -34,6 +40,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from triplane.llm import scratch
 from triplane.llm.components import components
@@ -42,6 +49,8 @@ from triplane.llm.words import NOT_SPACE, Words, chunks, mix
 _U = np.uint64
 #: Documents in a block, about; larger blocks mean fewer copies of a document, smaller ones less memory a task.
 BLOCK = 512
+#: Documents in a list from which on it is split by full-set shingles.
+HOT = 8 * BLOCK
 STAR_ROUNDS = 3
 #: Leaders that a document not linked in the first round is tried against in each later one.
 TRIES = 4
@@ -179,11 +188,40 @@ def block_links(token: int, a: _Side, b: _Side, same: bool, n: int, t: int, perc
     return out
 
 
-def _blocks(n: int, t: int, percent: int):
+def hot_links(token: int, a: list[dict], b: list[dict], same: bool, percent: int) -> list[tuple[int, int]]:
+    """Links between documents of different components whose rarest common prefix shingle is ``token``."""
+    sets = [[np.frombuffer(r["shingles"], _U) for r in rows] for rows in (a, b)]
+    sizes, comps = np.array([len(x) for x in sets[1]]), np.array([r["comp"] for r in b])
+    held = [set(r["prefix"]) for r in b]
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    out = []
+    for i, row in enumerate(a):
+        n = len(sets[0][i])
+        good = (comps != row["comp"]) & (100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n))
+        if same:
+            good[: i + 1] = False
+        for j in np.flatnonzero(good).tolist():
+            x, y = root(row["comp"]), root(b[j]["comp"])
+            if x != y and next(s for s in row["prefix"] if s in held[j]) == token and _linked(sets[0][i], sets[1][j], percent):
+                parent[x] = y
+                out.append((row["doc"], b[j]["doc"]))
+    return out
+
+
+def _blocks(n: int, t: int, percent: int, hot: bool = False):
     """Rows sorted by (token, left, right, side) to links."""
 
     def solve(token: int, rows: list[dict]) -> list[tuple[int, int]]:
         left, right = [r for r in rows if not r["side"]], [r for r in rows if r["side"]]
+        if hot:
+            return hot_links(token, left, right or left, not right, percent)
         a = _Side(left, n)
         return block_links(token, a, _Side(right, n) if right else a, not right, n, t, percent)
 
@@ -208,17 +246,45 @@ def _blocks(n: int, t: int, percent: int):
     return run
 
 
+def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc, comp, shingles) to one row a shingle: doc, comp, size, shingle."""
+    for batch in batches:
+        own = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(2)]
+        sizes = np.array([len(x) for x in own])
+        wide = [np.repeat(x, sizes) for x in (batch.column(0).to_numpy(), batch.column(1).to_numpy(), sizes)]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*wide, np.concatenate(own))] if own else [pa.array([], pa.int64())] * 4, names=["doc", "comp", "size", "shingle"])
+
+
+def _hot_lists(hot: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Lists by prefix shingle of the documents in hot lists, and each document's prefix: (token, doc, comp), (doc, prefix)."""
+    docs = hot.select("doc", "comp").distinct().join(sets, "doc").select("doc", "comp", "shingles")
+    rows = scratch.keep(docs.mapInArrow(_shingle_rows, "doc long, comp long, size long, shingle long"), "shingles")
+    seen = rows.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
+    spread = rows.join(seen, "shingle")
+    own = Window.partitionBy("doc")
+    place = F.row_number().over(own.orderBy("df", "shingle")) + F.col("size") - F.count("*").over(own)  # those of this document alone come first
+    prefix = F.col("size") - F.ceil(F.col("size") * percent / 100) + 1
+    posted = scratch.keep(spread.select("doc", "comp", "shingle", "df", place.alias("place"), prefix.alias("upto")).where("place <= upto"), "posted")
+    scratch.forget(rows)
+    several = posted.groupBy("shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("shingle")
+    lists = scratch.keep(posted.join(several, "shingle").select(F.col("shingle").alias("token"), "doc", "comp"), "open")
+    prefixes = posted.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("place", "shingle")))["shingle"].alias("prefix"))
+    return lists, prefixes
+
+
 def _star(lists: DataFrame, members: DataFrame, sets: DataFrame, t: int, percent: int, turn: int) -> DataFrame:
-    """Confirmed links of documents to a leader of another component in one of their lists; lists of two are settled."""
+    """Confirmed links of documents to a leader of another component in one of their lists; lists of two are settled.
+
+    Leaders are chosen by the number of lists in common, so only the chosen pairs meet their signatures and sets.
+    """
     lead = lists.groupBy("token").agg(F.min_by(F.struct("doc", "comp"), F.xxhash64("doc", F.lit(turn))).alias("lead"), F.count("*").alias("n"))
     tried = lists.join(lead, "token").where(F.col("comp") != F.col("lead.comp"))
-    tried = tried.groupBy("doc", F.col("lead.doc").alias("lead")).agg((F.min("n") == 2).alias("two"))
-    own = members.select("doc", "own")
-    tried = tried.join(own.toDF("lead", "theirs"), "lead").join(own, "doc")
-    tried = tried.select("doc", "lead", "two", F.size(F.array_intersect("own", "theirs")).alias("hits")).where(F.col("hits") >= t)
-    best = tried.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("hits", "lead", "two")), False).alias("leads"))  # one a list at most
+    tried = tried.groupBy("doc", F.col("lead.doc").alias("lead")).agg(F.count("*").alias("common"), (F.min("n") == 2).alias("two"))
+    best = tried.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("common", "lead", "two")), False).alias("leads"))  # one a list at most
     first = F.slice("leads", 1, TRIES if turn else 1)
     best = best.select("doc", F.explode(F.array_union(first, F.filter("leads", lambda x: x["two"]))["lead"]).alias("lead"))
+    own = members.select("doc", "own")
+    best = best.join(own.toDF("lead", "theirs"), "lead").join(own, "doc").where(F.size(F.array_intersect("own", "theirs")) >= t).select("doc", "lead")
     pairs = best.join(sets.toDF("lead", "a"), "lead").join(sets.toDF("doc", "b"), "doc")
     return pairs.select("doc", "lead", "a", "b").mapInArrow(_confirm(percent), "u long, v long")
 
@@ -233,7 +299,7 @@ def _block_rows(lists: DataFrame) -> DataFrame:
     part = F.pmod(F.xxhash64("doc"), F.ceil(F.col("n") / (BLOCK)))
     block = F.when(big, F.struct(F.col("comp").alias("of"), part.alias("part")))
     block = block.otherwise(F.struct(F.lit(None).cast("long").alias("of"), F.pmod(F.xxhash64("comp"), F.col("pools")).alias("part")))
-    dealt = scratch.keep(dealt.select("token", "doc", "comp", block.alias("block")), "blocks")
+    dealt = scratch.keep(dealt.select("token", "doc", "comp", block.alias("block")), "blocks")  # read three times below
     there = dealt.select("token", "block").distinct()
     pairs = there.toDF("token", "left").join(there.toDF("token", "right"), "token").where(F.col("left") <= F.col("right"))
     pairs = pairs.where(~F.coalesce(F.col("left.of") == F.col("right.of"), F.lit(False)))
@@ -243,6 +309,22 @@ def _block_rows(lists: DataFrame) -> DataFrame:
     return left.select(*columns, F.lit(False).alias("side")).union(right.select(*columns, F.lit(True).alias("side")))
 
 
+def _compared(now: DataFrame, members: DataFrame, sets: DataFrame, n: int, t: int, percent: int) -> DataFrame:
+    """Links within the lists that still hold several components."""
+    long = now.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("token")
+    hot = now.join(long, "token", "left_semi")
+    key, how = ["token", "left", "right"], "u long, v long"
+    cold = _block_rows(now.join(long, "token", "left_anti")).join(members.select("doc", "own", "order"), "doc").join(sets, "doc")
+    cold = cold.repartition(*key).sortWithinPartitions(*key, "side").select(*key, "side", "doc", "comp", "own", "order", "shingles")
+    out = cold.mapInArrow(_blocks(n, t, percent), how)
+    if hot.limit(1).count():
+        lists, prefixes = _hot_lists(hot, sets, percent)
+        rows = _block_rows(lists).join(prefixes, "doc").join(sets, "doc")
+        rows = rows.repartition(*key).sortWithinPartitions(*key, "side").select(*key, "side", "doc", "comp", "prefix", "shingles")
+        out = out.union(rows.mapInArrow(_blocks(n, t, percent, hot=True), how))
+    return out
+
+
 def near_dedup(docs: DataFrame, size: int = 5, percent: int = 80, n: int = 48, t: int | None = None) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
     spark = docs.sparkSession
@@ -299,14 +381,13 @@ def near_dedup(docs: DataFrame, size: int = 5, percent: int = 80, n: int = 48, t
         if turn < STAR_ROUNDS:
             more = _star(now, members, sets, t, percent, turn)
         else:
-            dealt = _block_rows(now).join(members.select("doc", "own", "order"), "doc").join(sets, "doc")
-            dealt = dealt.repartition("token", "left", "right").sortWithinPartitions("token", "left", "right", "side")
-            dealt = dealt.select("token", "left", "right", "side", "doc", "comp", "own", "order", "shingles")
-            more = dealt.mapInArrow(_blocks(n, t, percent), "u long, v long")
+            more = _compared(now, members, sets, n, t, percent)
         more = scratch.keep(more, "links")
-        if labels is not None:
-            more = more.union(labels.select("node", "component"))
-        labels = scratch.keep(components(more.toDF("u", "v")), "labels")
+        before = labels
+        edges = more if labels is None else more.union(labels.select("node", "component"))
+        labels = scratch.keep(components(edges.toDF("u", "v")), "labels")
+        scratch.forget(now, more, before)
+    scratch.forget(members, lists, sets)
 
     if labels is not None:
         least = classes.select(F.col("doc").alias("node"), "least").join(labels, "node").groupBy("component").agg(F.min("least").alias("first"))

@@ -18,7 +18,7 @@ the manifest (one row per shard) lists exactly the shards of successful attempts
 leaves at most an unlisted file.  Shards are read back from the manifest.
 
 Defined results: null text is empty (its end id alone); null doc_ids come first; rows with one doc_id
-follow each other; an empty table writes no shard and gives no rows; extra columns are ignored.
+follow each other in the order of their texts; an empty table writes no shard and gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -230,7 +230,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 1,
     """Write shard files below ``folder`` and return the manifest: file, docs, tokens, start."""
     scratch.ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     made = rows.mapInArrow(_write(tokenizer, folder, end_id, percentile), "file string, low long, docs long, tokens long")
     made = scratch.keep(made, "manifest")
     before = Window.orderBy(F.asc_nulls_first("low")).rowsBetween(Window.unboundedPreceding, -1)  # one row a shard

@@ -3,14 +3,16 @@
 Rules (action, host, path) enter a trie: first the host's labels from the last one on, then the
 path's whole segments; a path rest without a closing slash is kept at its node as a string prefix.  A
 rule fits its host, all subdomains, and every path that starts with its path.  The longest fitting
-rule (host plus path characters) decides, and a block beats an allow of the same length; without
-a fitting rule the default verdict holds.
+rule (host plus path characters) decides; of rules of one length a block beats an allow, then a
+longer host a longer path; without a fitting rule the default verdict holds.  Hosts, of urls and of
+rules, are lower-cased in A-Z alone.
 
 The trie is broadcast while the rules' size is below ``broadcast_bytes``; beyond it the same answer
 comes from a shuffle join of the urls' host suffixes and path prefixes with the rule table.
 
 Defined results: a null url, or one without ``://``, has empty host and path and the default verdict;
-repeated rows give repeated rows; null rules' parts count as empty; a rule without host is no rule.
+repeated rows give repeated rows; null rules' parts count as empty; a rule without host is no rule;
+urls of any length are judged whole; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ from triplane.llm import scratch
 
 Rule = tuple[str, str, str]
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_FOLD = str.maketrans(_UPPER, _LOWER)
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -42,7 +45,7 @@ class Trie:
     def __init__(self, rules: Iterable[Rule]):
         self.hosts: list = [{}, None]
         for action, host, path in rules:
-            host, path = (host or "").lower(), path or ""
+            host, path = (host or "").translate(_FOLD), path or ""
             if not host:
                 continue
             node = self.hosts
@@ -54,7 +57,7 @@ class Trie:
             *whole, rest = path.split("/")
             for segment in whole:
                 node = node[0].setdefault(segment, [{}, None, []])
-            found = (len(host) + len(path), action == "block", host + path, action)
+            found = (len(host) + len(path), action == "block", len(host), host + path, action)
             if rest:
                 node[2].append((rest, found))
             elif node[1] is None or node[1] < found:
@@ -81,14 +84,19 @@ class Trie:
                         if left.startswith(rest) and (best is None or best < found):
                             best = found
                 at = at[0].get(segments[k]) if k < len(segments) - 1 else None
-        return best and (best[2], best[3])
+        return best and best[3:]
 
 
 def _walk(held, default: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = held.value.judge
         for batch in batches:
-            found = [judge(h, p) or (None, default) for h, p in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            known: dict = {}  # every distinct host and path of the batch is judged once
+            found = []
+            for url in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if url not in known:
+                    known[url] = judge(*url) or (None, default)
+                found.append(known[url])
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.string())],
                 names=["page_id", "host", "path", "rule", "verdict"],
@@ -99,8 +107,8 @@ def _walk(held, default: str):
 
 def _joined(pages: DataFrame, rules: list[Rule], default: str) -> DataFrame:
     spark = pages.sparkSession
-    table = spark.createDataFrame([(a, (h or "").lower(), p or "") for a, h, p in rules if h], "action string, rule_host string, rule_path string")
-    table = table.withColumn("rank", F.struct(F.length("rule_host") + F.length("rule_path"), F.col("action") == "block"))
+    table = spark.createDataFrame([(a, (h or "").translate(_FOLD), p or "") for a, h, p in rules if h], "action string, rule_host string, rule_path string")
+    table = table.withColumn("rank", F.struct(F.length("rule_host") + F.length("rule_path"), F.col("action") == "block", F.length("rule_host")))
     table = table.groupBy("rule_host", "rule_path").agg(F.max_by("action", "rank").alias("action"), F.max("rank").alias("rank"))
     lengths = sorted({len(p or "") for _, _, p in rules})
     keyed = pages.withColumn("_row", F.monotonically_increasing_id())
