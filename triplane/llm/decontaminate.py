@@ -5,14 +5,16 @@ window only if it holds all of the window's shingles, so one shingle is a necess
 are ordered by rarity, counted over the whole corpus, and each window is joined through its rarest
 one alone (a window whose rarest shingle never occurs is dropped).  The shingle's place in the window
 fixes where the window must start (positional bound) and it must end inside the text (length bound);
-then all words are compared.
+then all words are compared, byte by byte.
 
-Item windows are broadcast in blocks of bounded size; larger benchmarks take one pass per block and
-the blocks' spans are merged per document.
+The windows of a benchmark under ``block_bytes`` are broadcast.  A larger one is joined by shuffle: a
+broadcast bitmap of 2**MAP_BITS bits, whatever the benchmark's size, lets only places of its shingles leave a
+text, with the words around them.  Either way reads the corpus twice, once to count and once to match.
 
 Defined results: null and empty texts have no words, no hits, no items; items without words have no
 window; an item without id still hits words but is not listed; repeated items count once; repeated
-documents give repeated rows.  An empty benchmark hits nothing.
+documents give repeated rows; texts are read whole, however long; other columns are ignored.  An
+empty benchmark hits nothing, an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,32 +27,43 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from triplane.llm import scratch
-from triplane.llm.words import ALNUM, Lookup, Words, chunks
+from triplane.llm.words import ALNUM, LOWER_BYTES, Bitmap, Lookup, Words, chunks, same_bytes
 
 SHINGLE = 3
+MAP_BITS = 27
 _SPANS = "array<struct<start:int,end:int>>"
 
 
+def _item_windows(texts: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray, list[bytes]]]:
+    """(text number, hashes of a window's words, the words) of every window of every text."""
+    for first, _end, buf, offsets in chunks(texts):
+        words, raw = Words(buf, offsets, ALNUM), LOWER_BYTES[buf].tobytes()
+        for k in range(len(offsets) - 1):
+            a, b = int(words.docs[k]), int(words.docs[k + 1])
+            own = [raw[x:y] for x, y in zip(words.starts[a:b].tolist(), words.ends[a:b].tolist(), strict=True)]
+            n = min(width, b - a)
+            for s in range(b - a - n + 1 if n else 0):
+                yield first + k, words.hashes[a + s : a + s + n], own[s : s + n]
+
+
 class Windows:
-    """Distinct windows of a block of items: their words' hashes, lengths, shingles and items."""
+    """Distinct windows of a block of items: their words, words' hashes, lengths, shingles and items."""
 
     def __init__(self, items: list[tuple[str | None, str]], width: int):
         self.names = [name for name, _ in items]
-        rows: dict[bytes, tuple[int, np.ndarray, set[int]]] = {}
-        for _first, _end, buf, offsets in chunks(pa.array([t for _, t in items], pa.large_string())):
-            words = Words(buf, offsets, ALNUM)
-            for k in range(len(offsets) - 1):
-                own = words.hashes[words.docs[k] : words.docs[k + 1]]
-                n = min(width, len(own))
-                for s in range(len(own) - n + 1 if n else 0):
-                    part = own[s : s + n]
-                    rows.setdefault(part.tobytes(), (n, part, set()))[2].add(_first + k)
-        found = list(rows.values())
-        self.lengths = np.array([n for n, _, _ in found], np.int64)
-        self.words = np.zeros((len(found), width), np.uint64)
-        for k, (n, part, _) in enumerate(found):
-            self.words[k, :n] = part
-        self.items = [sorted(x for x in own if self.names[x] is not None) for _, _, own in found]
+        rows: dict[tuple, tuple[np.ndarray, set[int]]] = {}
+        for k, part, own in _item_windows(pa.array([t for _, t in items], pa.large_string()), width):
+            rows.setdefault(tuple(own), (part, set()))[1].add(k)
+        self.lengths = np.array([len(own) for own in rows], np.int64)
+        self.words = np.zeros((len(rows), width), np.uint64)
+        self.spans = np.zeros((len(rows), width), np.int64)  # bytes of each word
+        for k, (own, (part, _)) in enumerate(rows.items()):
+            self.words[k, : len(own)] = part
+            self.spans[k, : len(own)] = [len(x) for x in own]
+        self.raw = np.frombuffer(b"".join(x for own in rows for x in own), np.uint8)
+        flat = self.spans.reshape(-1)
+        self.at = (np.cumsum(flat) - flat).reshape(self.spans.shape)
+        self.items = [sorted(x for x in own if self.names[x] is not None) for _, own in rows.values()]
 
     def shingles(self) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """By shingle size: (hash, window, place in the window) of every shingle."""
@@ -112,7 +125,7 @@ class Prefixes:
             starts = np.searchsorted(hashes[first], keys.keys)
             self.by_size[size] = (keys, np.append(starts, len(first)), owner[first], place[first])
 
-    def matches(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
+    def matches(self, words: Words, buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(first word, window) of every occurrence, word numbers being those of the run of texts."""
         w, out = self.windows, []
         last = np.repeat(words.docs[1:], np.diff(words.docs))
@@ -131,10 +144,24 @@ class Prefixes:
             for k in range(w.words.shape[1]):
                 used = k < w.lengths[window]
                 good &= ~used | (words.hashes[np.minimum(begin + k, len(words.hashes) - 1)] == w.words[window, k])
-            out.append((begin[good], window[good]))
+            begin, window = begin[good], window[good]
+            out.append(self._verified(words, buf, begin, window))
         return np.concatenate([x for x, _ in out] or [np.zeros(0, np.int64)]), np.concatenate([x for _, x in out] or [np.zeros(0, np.int64)])
 
 
+    def _verified(self, words: Words, buf: np.ndarray, begin: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Those occurrences whose words are the window's, byte by byte."""
+        w, good = self.windows, np.ones(len(begin), bool)
+        for k in range(w.words.shape[1]):
+            at = np.flatnonzero(good & (k < w.lengths[window]))
+            start, n = words.starts[begin[at] + k], words.ends[begin[at] + k] - words.starts[begin[at] + k]
+            alike = n == w.spans[window[at], k]
+            good[at[~alike]] = False
+            at, start, n = at[alike], start[alike], n[alike]
+            good[at] = same_bytes(buf, start, w.raw, w.at[window[at], k], n)
+        return begin[good], window[good]
+
+
 def _spans(words: Words, begin: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, start, end) of merged runs of hit words, relative to their text."""
     cover = np.zeros(len(words.hashes) + 1, np.int64)
@@ -157,7 +184,7 @@ def _match(held):
         for batch in batches:
             for first, end, buf, offsets in chunks(batch.column(1)):
                 words, n = Words(buf, offsets, ALNUM), end - first
-                begin, window = prefixes.matches(words)
+                begin, window = prefixes.matches(words, buf)
                 text, start, stop = _spans(words, begin, lengths[window]) if len(begin) else (np.zeros(0, np.int64),) * 3
                 items: list[set] = [set() for _ in range(n)]
                 owner = np.searchsorted(words.docs, begin, "right") - 1
@@ -188,29 +215,99 @@ def _pass(rows: DataFrame, windows: Windows) -> DataFrame:
     return rows.select("key", "text").mapInArrow(_match(held), f"key long, n_words long, spans {_SPANS}, items array<string>")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_bytes: int = 8 << 20) -> DataFrame:
-    """One row per document: doc_id, n_words, spans (merged runs of hit words), items (ids found)."""
-    spark = docs.sparkSession
-    scratch.ship(spark)
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).distinct()
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blocks = max(1, -(-size // block_bytes))
-    items = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
-    rows = docs.select(F.col("doc_id").cast("long").alias("key"), F.col("text").alias("text"))
-    if blocks == 1:
-        own = [(x.item_id, x.text) for x in items.collect()]
-        return _pass(rows, Windows(own, width)).withColumnRenamed("key", "doc_id")
-    ids = scratch.keep(rows.withColumnRenamed("key", "doc_id").withColumn("key", F.monotonically_increasing_id()), "texts")
-    parts = None
-    for block in range(blocks):
-        own = [(x.item_id, x.text) for x in items.where(F.col("block") == block).collect()]
-        part = scratch.keep(_pass(ids, Windows(own, width)), "spans")
-        parts = part if parts is None else parts.unionByName(part)
-    merged = parts.groupBy("key").agg(
-        F.max("n_words").alias("n_words"),
-        F.array_sort(F.flatten(F.collect_list("spans"))).alias("all"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-    )
+def _window_rows(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, grams, lengths, sizes, shingles = [], [], [], [], []
+            ids = batch.column(0).to_pylist()
+            for k, part, own in _item_windows(batch.column(1), width):
+                size = min(SHINGLE, len(own))
+                names.append(ids[k])
+                grams.append(b" ".join(own).decode())
+                lengths.append(len(own))
+                sizes.append(size)
+                shingles.append(Words.grams(_Flat(part), size)[0][: len(own) - size + 1].view(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(names, pa.string()), pa.array(grams, pa.string()), pa.array(lengths, pa.int32()), pa.array(sizes, pa.int32()), pa.array(shingles, pa.list_(pa.int64()))],
+                names=["item", "gram", "n", "size", "shingles"],
+            )
+
+    return run
+
+
+def _bitmap(rows: DataFrame):
+    """A broadcast bitmap of the shingles of rows; the driver sees at most 2**MAP_BITS / 64 words."""
+    place = F.shiftrightunsigned("shingle", 64 - MAP_BITS)
+    words = rows.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(shingle, {64 - MAP_BITS}) & 63 AS int))")).alias("bits")).toArrow()
+    flat = np.zeros(1 << (MAP_BITS - 6), np.uint64)
+    flat[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
+    sizes = sorted(r["size"] for r in rows.select("size").distinct().collect())
+    return rows.sparkSession.sparkContext.broadcast((Bitmap(flat, MAP_BITS), sizes))
+
+
+def _count_marked(held):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marked, sizes = held.value
+        for batch in batches:
+            for _, _, buf, offsets in chunks(batch.column(0)):
+                words = Words(buf, offsets, ALNUM)
+                for size in sizes:
+                    grams, fits = words.grams(size)
+                    grams = grams[fits]
+                    found, n = np.unique(grams[marked.has(grams)], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), size, np.int32)), pa.array(found.view(np.int64)), pa.array(n)], names=["size", "shingle", "n"])
+
+    return run
+
+
+_PLACES = "array<struct<size:int,shingle:bigint,at:int,first:int,words:array<string>>>"
+
+
+def _places(held, width: int):
+    """Each text's marked places with the words around them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marked, sizes = held.value
+        kind = pa.list_(pa.struct([("size", pa.int32()), ("shingle", pa.int64()), ("at", pa.int32()), ("first", pa.int32()), ("words", pa.list_(pa.string()))]))
+        for batch in batches:
+            for first, end, buf, offsets in chunks(batch.column(1)):
+                words, raw = Words(buf, offsets, ALNUM), LOWER_BYTES[buf].tobytes()
+                out: list[list[dict]] = [[] for _ in range(end - first)]
+                for size in sizes:
+                    grams, fits = words.grams(size)
+                    at = np.flatnonzero(fits)
+                    at = at[marked.has(grams[at])]
+                    text = np.searchsorted(words.docs, at, "right") - 1
+                    for x, k in zip(at.tolist(), text.tolist(), strict=True):
+                        begin, stop = int(words.docs[k]), int(words.docs[k + 1])
+                        low, high = max(begin, x - width + size), min(stop, x + width)
+                        near = [raw[a:b].decode() for a, b in zip(words.starts[low:high].tolist(), words.ends[low:high].tolist(), strict=True)]
+                        out[k].append({"size": size, "shingle": int(grams[x].view(np.int64)), "at": x - begin, "first": low - begin, "words": near})
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), pa.array(np.diff(words.docs)), pa.array(out, kind)], names=["doc_id", "n_words", "places"])
+
+    return run
+
+
+def _joined(rows: DataFrame, items: DataFrame, width: int) -> DataFrame:
+    """The shuffle join for benchmarks of any size."""
+    made = scratch.keep(items.mapInArrow(_window_rows(width), "item string, gram string, n int, size int, shingles array<long>"), "windows")
+    posted = made.dropDuplicates(["gram"]).select("gram", "n", "size", F.posexplode("shingles").alias("place", "shingle"))
+    counts = rows.select("text").mapInArrow(_count_marked(_bitmap(made.select("size", F.explode("shingles").alias("shingle")))), "size int, shingle long, n long")
+    counts = counts.groupBy("size", "shingle").agg(F.sum("n").alias("seen"))
+    rarest = posted.join(counts, ["size", "shingle"]).groupBy("gram", "n", "size").agg(F.count("*").alias("found"), F.min(F.struct("seen", "place", "shingle")).alias("rarest"))
+    rarest = rarest.where("found = n - size + 1").select("gram", "n", "size", "rarest.place", "rarest.shingle")  # a window with an absent shingle is dropped
+    rarest = scratch.keep(rarest, "prefixes")
+    texts = rows.mapInArrow(_places(_bitmap(rarest), width), f"doc_id long, n_words long, places {_PLACES}")
+    texts = scratch.keep(texts.withColumn("key", F.monotonically_increasing_id()), "places")
+    tried = texts.select("key", F.explode("places").alias("p")).select("key", "p.*").join(rarest, ["size", "shingle"])
+    begin = F.col("at") - F.col("place")
+    inside = (begin >= F.col("first")) & (begin + F.col("n") <= F.col("first") + F.size("words"))
+    same = F.concat_ws(" ", F.slice("words", F.greatest(begin - F.col("first") + 1, F.lit(1)), F.col("n"))) == F.col("gram")
+    hits = scratch.keep(tried.where(inside & same).select("key", "gram", begin.alias("start"), (begin + F.col("n")).alias("end")).distinct(), "hits")
+    spans = hits.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("all"))
+    owners = made.where("item IS NOT NULL").select("gram", "item").distinct()
+    named = hits.select("key", "gram").distinct().join(owners, "gram").groupBy("key").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    out = texts.select("key", "doc_id", "n_words").join(spans, "key", "left").join(named, "key", "left")
     empty = F.array().cast(_SPANS)
 
     def join_on(done, x):
@@ -218,5 +315,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_
         longer = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(tail["start"].alias("start"), F.greatest(tail["end"], x["end"]).alias("end"))))
         return F.when(F.size(done) == 0, F.array(x)).when(tail["end"] >= x["start"], longer).otherwise(F.concat(done, F.array(x)))
 
-    spans = F.aggregate("all", empty, join_on)
-    return merged.withColumn("spans", spans).drop("all").join(ids.select("key", "doc_id"), "key").select("doc_id", "n_words", "spans", "items")
+    merged = F.aggregate(F.coalesce("all", empty), empty, join_on)
+    return out.select("doc_id", "n_words", merged.alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_bytes: int = 8 << 20) -> DataFrame:
+    """One row per document: doc_id, n_words, spans (merged runs of hit words), items (ids found)."""
+    scratch.ship(docs.sparkSession)
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).distinct()
+    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    if size > block_bytes:
+        return _joined(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")), items, width)
+    rows = docs.select(F.col("doc_id").cast("long").alias("key"), F.col("text").alias("text"))
+    own = [(x.item_id, x.text) for x in items.collect()]
+    return _pass(rows, Windows(own, width)).withColumnRenamed("key", "doc_id")

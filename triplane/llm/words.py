@@ -34,6 +34,8 @@ _LOWER = np.arange(256)
 _LOWER[65:91] += 32
 #: Byte values with A-Z as a-z.
 LOWER_VALUES = _VALUES[_LOWER]
+#: Bytes with A-Z as a-z.
+LOWER_BYTES = _LOWER.astype(np.uint8)
 #: Bytes that are not ASCII white space (x20, x09-x0D).
 NOT_SPACE = np.ones(256, bool)
 NOT_SPACE[[9, 10, 11, 12, 13, 32]] = False
@@ -135,6 +137,25 @@ class Words:
         return out, fits
 
 
+def same_bytes(a: np.ndarray, a_at: np.ndarray, b: np.ndarray, b_at: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Whether the byte ranges of a and b at these places are equal, A-Z as a-z in a; lengths are over 0."""
+    first = np.cumsum(lengths) - lengths
+    inside = np.arange(int(lengths.sum())) - np.repeat(first, lengths)
+    equal = LOWER_BYTES[a[np.repeat(a_at, lengths) + inside]] == b[np.repeat(b_at, lengths) + inside]
+    return np.logical_and.reduceat(equal, first) if len(first) else np.zeros(0, bool)
+
+
+class Bitmap:
+    """A set of 64-bit keys as 2**bits bits: no member is missed, others may pass."""
+
+    def __init__(self, words: np.ndarray, bits: int):
+        self.words, self.shift = words, np.uint64(64 - bits)
+
+    def has(self, h: np.ndarray) -> np.ndarray:
+        place = h >> self.shift
+        return (self.words[(place >> _U(6)).astype(np.int64)] >> (place & _U(63))) & _U(1) == 1
+
+
 class Lookup:
     """Exact set membership of 64-bit keys with a bitmap in front; gives positions in the sorted keys."""
 
