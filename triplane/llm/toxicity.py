@@ -4,11 +4,13 @@ A text is its set of words, word pairs and skip-grams (pairs with one or two wor
 to 2**BITS coordinates.  A longer word also counts by its stems, its first 3 to 8 bytes, under coordinates
 of their own: inflected forms share them, while a short word is not taken for the start of another.  Training is online with per-coordinate learning rates; L1 leaves few weights, and
 those are broadcast.  The model is fitted on a bounded, documented sample of labelled rows (``bound``: the
-expected number, taken by a hash of doc_id), in one task that holds at most the sample.
+expected number, taken by a hash of doc_id; ``most_bytes``: the expected bytes of their texts, taken by a
+second hash), in one task that holds at most the sample.
 
 Defined results: null and empty texts score the bias alone; rows without a label or with a
-null one do not train; several labels of one document train with the largest; without any usable
-label every score is 0.5; extra columns are ignored.
+null one do not train; several labels of one document train with the largest; repeated rows are
+scored alike and train once each; texts of any length are scored whole; without any usable label every
+score is 0.5; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -100,7 +102,7 @@ def _train(epochs: int):
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int = 10_000, epochs: int = 3) -> dict[int, float]:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int = 10_000, epochs: int = 3, most_bytes: int = 64 << 20) -> dict[int, float]:
     """Sparse weights from about ``bound`` labelled documents."""
     scratch.ship(docs.sparkSession)
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull())
@@ -109,7 +111,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int = 1
     share = min(1.0, bound / max(1, many))
     known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).join(known, "doc_id")
-    rows = rows.select(F.xxhash64("doc_id", "text").alias("order"), "text", "y")
+    rows = scratch.keep(rows.select(F.xxhash64("doc_id", "text").alias("order"), "text", "y"), "sample")
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    if size > most_bytes:
+        rows = rows.where(F.pmod(F.xxhash64("order"), F.lit(1 << 30)) < int(most_bytes / size * (1 << 30)))
     rows = rows.mapInArrow(_train_rows, "order long, toxic int, coordinates array<int>")
     rows = rows.repartition(1).sortWithinPartitions("order")
     return {r["coordinate"]: r["weight"] for r in rows.mapInArrow(_train(epochs), "coordinate long, weight double").collect()}
