@@ -33,7 +33,7 @@ def coordinates(text):
     return {x >> (64 - toxicity.BITS) for x in out}
 
 
-def plain_fit(rows, epochs, alpha=1.0, beta=1.0, l1=2.0, l2=0.1):
+def plain_fit(rows, epochs, alpha=1.0, beta=1.0, l1=3.0, l2=0.1):
     z, n = {}, {}
 
     def weight(i):

@@ -67,7 +67,7 @@ def _train_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Ftrl:
     """Per-coordinate FTRL-proximal state with L1 and L2."""
 
-    def __init__(self, alpha: float = 1.0, beta: float = 1.0, l1: float = 2.0, l2: float = 0.1):
+    def __init__(self, alpha: float = 1.0, beta: float = 1.0, l1: float = 3.0, l2: float = 0.1):
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
         self.z, self.n = np.zeros(BIAS + 1), np.zeros(BIAS + 1)
 
