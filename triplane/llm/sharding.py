@@ -24,7 +24,7 @@ from pyspark.sql.window import Window
 
 from triplane.llm import scratch
 
-BITS, ROUNDS = 21, 2
+BITS, ROUNDS = 11, 4
 _KEY_BITS = BITS * ROUNDS
 _GROUP = ["size", "text_crc32", "text_hash"]
 
