@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from triplane.llm import scratch
-from triplane.llm.words import ALPHA, LOWER_VALUES, Lookup, Prefix, Words, chunks
+from triplane.llm.words import ALPHA, LOWER_VALUES, Lookup, Prefix, Words, chunks, drop_caches
 
 REACH = 32
 #: Bytes of long words, times words, whose forward values are held at once when scoring, about; a longer word is fitted alone.
@@ -257,11 +257,12 @@ def fit(docs: DataFrame, vocabulary: str, lang: str = "lang", bound: int = 400,
 
 def _identify(held, text_at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_caches()
         model: Model = held.value
         for batch in batches:
             names, scores = [], []
             lettered = batch.column(batch.num_columns - 1).to_pylist()
-            for first, end, buf, offsets in chunks(batch.column(text_at), 2 << 20):
+            for first, end, buf, offsets in chunks(batch.column(text_at)):
                 if not model.languages:
                     names += [None] * (end - first)
                     scores += [0.0] * (end - first)

@@ -23,7 +23,7 @@ import os
 
 import numpy as np
 
-from triplane.llm.words import LOWER_VALUES, Prefix
+from triplane.llm.words import CACHES, LOWER_VALUES, Prefix
 
 _LETTER, _DIGIT, _SIGN, _SPACE, _OTHER = 1, 2, 3, 4, 0
 _KIND = np.zeros(256, np.uint8)
@@ -37,7 +37,8 @@ _CUT = np.zeros(64, bool)
 for _a in (_LETTER, _DIGIT, _SIGN, _SPACE, _OTHER):
     for _b in (_LETTER, _DIGIT, _SIGN, _SPACE, _OTHER):
         _CUT[8 * _a + _b] = (_a != _b and (_SPACE in (_a, _b) or _OTHER not in (_a, _b))) or _a == _b == _DIGIT
-_PLACE = np.uint64(64 - 21)
+_PLACE_BITS = 20
+_PLACE = np.uint64(64 - _PLACE_BITS)
 #: Pieces over this many bytes, or with ``<|``, are named by a digest of their exact bytes instead of the rolling hash.
 _LONG = 256
 #: Words encoded by one call.
@@ -87,11 +88,11 @@ class Encoder:
         self.known = np.zeros(0, np.uint64)  # sorted keys of all pieces held, in 12 bytes a piece with their slots
         self.slots = np.zeros(0, np.int32)
         self.start = np.zeros(1 << 12, np.int64)
-        self.count = np.zeros(1 << 12, np.int64)
+        self.count = np.zeros(1 << 12, np.int32)
         self.flat = np.zeros(1 << 14, np.uint32)
         self.used = 0
-        self.near_key = np.zeros(1 << 21, np.uint64)  # most recent piece of each place: no sort for pieces just seen
-        self.near_slot = np.full(1 << 21, -1, np.int32)
+        self.near_key = np.zeros(1 << _PLACE_BITS, np.uint64)  # most recent piece of each place: no sort for pieces just seen
+        self.near_slot = np.full(1 << _PLACE_BITS, -1, np.int32)
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         """Ids of pieces.  Words of letters alone are encoded in runs: each ends with its only word-end token."""
@@ -176,7 +177,7 @@ class Encoder:
             slot[missing] = got[back]
             self.near_key[place[missing]] = keys[missing]
             self.near_slot[place[missing]] = slot[missing]
-        n = self.count[slot]
+        n = self.count[slot].astype(np.int64)
         upto = np.cumsum(n)
         total = int(upto[-1]) if len(upto) else 0
         ids = self.flat[np.repeat(self.start[slot] - upto + n, n) + np.arange(total)]
@@ -185,6 +186,7 @@ class Encoder:
 
 
 _ENCODERS: dict[str, Encoder] = {}
+CACHES.append(_ENCODERS.clear)
 
 
 def encoder(path: str) -> Encoder:

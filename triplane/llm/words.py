@@ -50,7 +50,7 @@ ALPHA[48:58] = False
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POWERS[0]) < n:
-        size = max(n, CHUNK_BYTES * 2)
+        size = max(n, CHUNK_BYTES + 2)
         for k, base in ((0, _BASE), (1, _INVERSE)):
             steps = np.full(size, base, dtype=_U)
             steps[0] = 1
@@ -61,6 +61,17 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 _TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
+#: Empty the caches of operators that a worker has served.
+CACHES: list = []
+
+
+def drop_caches() -> None:
+    """For operators without a cache: a worker keeps none of an earlier stage's while it serves them."""
+    for clear in CACHES:
+        clear()
+    release()
+
+
 def release() -> None:
     """Give freed memory back to the system: idle workers stay small while other stages run."""
     pa.default_memory_pool().release_unused()
