@@ -11,7 +11,8 @@
    into components; within a list, pairs of one component need no test.
    What is left in lists with several components is compared in blocks of bounded size: every
    pair of different components with t or more collisions is tested, in the list of its rarest common
-   token alone, and only links leave the block.  No list is capped and no pair is emitted
+   token alone, and only links leave the block.  Signatures go first and name the documents that are in such
+   a pair; only these are sent with their sets.  No list is capped and no pair is emitted
    unless it is a link or a leader's candidate.
 4. A list over HOT documents (texts that share a template, but are no near duplicates) would make too many
    block pairs.  Its documents are posted anew under their rarest full-set shingles: two sets of
@@ -44,7 +45,7 @@ from pyspark.sql.window import Window
 
 from triplane.llm import scratch
 from triplane.llm.components import components
-from triplane.llm.words import NOT_SPACE, Words, chunks, mix
+from triplane.llm.words import NOT_SPACE, Words, chunks, drop_caches, mix
 
 _U = np.uint64
 #: Documents in a block, about; larger blocks mean fewer copies of a document, smaller ones less memory a task.
@@ -83,6 +84,7 @@ def _features(size: int, n: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.seterr(over="ignore")
+        drop_caches()
         for batch in batches:
             for first, end, buf, offsets in chunks(batch.column(1)):
                 sets = shingle_sets(buf, offsets, size)
@@ -113,6 +115,7 @@ def _features(size: int, n: int):
 def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.seterr(over="ignore")
+        drop_caches()
         for batch in batches:
             for first, end, buf, offsets in chunks(batch.column(1)):
                 own = [s.tobytes() for s in shingle_sets(buf, offsets, size)]
@@ -144,12 +147,12 @@ def _confirm(percent: int):
 
 
 class _Side:
-    """Documents of one block."""
+    """Documents of one block; those that are looked through for candidates come without their sets."""
 
     def __init__(self, rows: list[dict], n: int):
         self.docs = [r["doc"] for r in rows]
         self.comps = np.array([r["comp"] for r in rows])
-        self.sets = [np.frombuffer(r["shingles"], _U) for r in rows]
+        self.sets = [np.frombuffer(r["shingles"], _U) for r in rows if "shingles" in r]
         self.sizes = np.array([len(s) for s in self.sets])
         self.tokens = np.zeros((len(rows), n), np.int64)
         self.order = np.zeros((len(rows), n), np.int64)
@@ -188,6 +191,67 @@ def block_links(token: int, a: _Side, b: _Side, same: bool, n: int, t: int, perc
     return out
 
 
+def block_candidates(token: int, a: _Side, b: _Side, same: bool, t: int) -> tuple[np.ndarray, np.ndarray]:
+    """Documents of each side in a pair that ``block_links`` compares by set, or would but for the sizes."""
+    hit = [np.zeros(len(a.docs), bool), np.zeros(len(b.docs), bool)]
+    for i in range(len(a.docs)):
+        equal = (b.tokens == a.tokens[i]) & (a.tokens[i] != 0)
+        good = (equal.sum(axis=1) >= t) & (b.comps != a.comps[i])
+        if same:
+            good[: i + 1] = False
+        rows = np.flatnonzero(good)
+        if not len(rows):
+            continue
+        rarest = np.where(equal[rows], a.order[i], np.iinfo(np.int64).max).argmin(axis=1)
+        rows = rows[a.tokens[i][rarest] == token]
+        hit[1][rows] = True
+        hit[0][i] |= len(rows) > 0
+    if same:
+        hit[0] |= hit[1]
+    return hit[0], hit[1]
+
+
+_CANDIDATE = "token long, left struct<of:long,part:long>, right struct<of:long,part:long>, side boolean, doc long, comp long"
+_PART = pa.struct([("of", pa.int64()), ("part", pa.int64())])
+_CANDIDATE_ARROW = pa.schema([("token", pa.int64()), ("left", _PART), ("right", _PART), ("side", pa.bool_()), ("doc", pa.int64()), ("comp", pa.int64())])
+
+
+def _candidates(n: int, t: int):
+    """Rows sorted by (token, left, right, side) to those that are in a candidate pair of their block pair."""
+
+    def solve(rows: list[dict]) -> list[dict]:
+        left, right = [r for r in rows if not r["side"]], [r for r in rows if r["side"]]
+        a = _Side(left, n)
+        hit = block_candidates(rows[0]["token"], a, _Side(right, n) if right else a, not right, t)
+        picked = [r for r, x in zip(left, hit[0].tolist(), strict=True) if x]
+        return picked + [r for r, x in zip(right, hit[1].tolist(), strict=True) if x] if right else picked
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in _by_block(batches, solve):
+            yield pa.RecordBatch.from_pylist([{k: r[k] for k in _CANDIDATE_ARROW.names} for r in found], _CANDIDATE_ARROW)
+
+    return run
+
+
+def _by_block(batches: Iterator[pa.RecordBatch], solve) -> Iterator[list]:
+    """What ``solve`` gives for the rows of each block pair, of a batch at a time."""
+    held: list[dict] = []
+    key, found = None, []
+    for batch in batches:
+        for row in batch.to_pylist():
+            now = (row["token"], row["left"], row["right"])
+            if now != key:
+                if held:
+                    found += solve(held)
+                key, held = now, []
+            held.append(row)
+        if found:
+            yield found
+            found = []
+    if held and (found := solve(held)):
+        yield found
+
+
 def hot_links(token: int, a: list[dict], b: list[dict], same: bool, percent: int) -> list[tuple[int, int]]:
     """Links between documents of different components whose rarest common prefix shingle is ``token``."""
     sets = [[np.frombuffer(r["shingles"], _U) for r in rows] for rows in (a, b)]
@@ -218,7 +282,8 @@ def hot_links(token: int, a: list[dict], b: list[dict], same: bool, percent: int
 def _blocks(n: int, t: int, percent: int, hot: bool = False):
     """Rows sorted by (token, left, right, side) to links."""
 
-    def solve(token: int, rows: list[dict]) -> list[tuple[int, int]]:
+    def solve(rows: list[dict]) -> list[tuple[int, int]]:
+        token = rows[0]["token"]
         left, right = [r for r in rows if not r["side"]], [r for r in rows if r["side"]]
         if hot:
             return hot_links(token, left, right or left, not right, percent)
@@ -226,21 +291,7 @@ def _blocks(n: int, t: int, percent: int, hot: bool = False):
         return block_links(token, a, _Side(right, n) if right else a, not right, n, t, percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
-        key, found = None, []
-        for batch in batches:
-            for row in batch.to_pylist():
-                now = (row["token"], row["left"], row["right"])
-                if now != key:
-                    if held:
-                        found += solve(key[0], held)
-                    key, held = now, []
-                held.append(row)
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["u", "v"])
-                found = []
-        if held:
-            found = solve(key[0], held)
+        for found in _by_block(batches, solve):
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["u", "v"])
 
     return run
@@ -272,6 +323,11 @@ def _hot_lists(hot: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame
     return lists, prefixes
 
 
+def _of(sets: DataFrame, docs: DataFrame) -> DataFrame:
+    """The sets of these documents, so that a join deals no others."""
+    return sets.join(docs.distinct(), "doc", "left_semi")
+
+
 def _star(lists: DataFrame, members: DataFrame, sets: DataFrame, t: int, percent: int, turn: int) -> DataFrame:
     """Confirmed links of documents to a leader of another component in one of their lists; lists of two are settled.
 
@@ -285,7 +341,9 @@ def _star(lists: DataFrame, members: DataFrame, sets: DataFrame, t: int, percent
     best = best.select("doc", F.explode(F.array_union(first, F.filter("leads", lambda x: x["two"]))["lead"]).alias("lead"))
     own = members.select("doc", "own")
     best = best.join(own.toDF("lead", "theirs"), "lead").join(own, "doc").where(F.size(F.array_intersect("own", "theirs")) >= t).select("doc", "lead")
-    pairs = best.join(sets.toDF("lead", "a"), "lead").join(sets.toDF("doc", "b"), "doc")
+    best = scratch.keep(best, "tried")  # few pairs are left: their number is known before the sets are joined
+    leads, docs = _of(sets, best.select(F.col("lead").alias("doc"))), _of(sets, best.select("doc"))
+    pairs = best.join(leads.toDF("lead", "a"), "lead").join(docs.toDF("doc", "b"), "doc")
     return pairs.select("doc", "lead", "a", "b").mapInArrow(_confirm(percent), "u long, v long")
 
 
@@ -314,7 +372,12 @@ def _compared(now: DataFrame, members: DataFrame, sets: DataFrame, n: int, t: in
     long = now.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("token")
     hot = now.join(long, "token", "left_semi")
     key, how = ["token", "left", "right"], "u long, v long"
-    cold = _block_rows(now.join(long, "token", "left_anti")).join(members.select("doc", "own", "order"), "doc").join(sets, "doc")
+    # Signatures alone tell which documents of a block have a candidate there, so only those carry their sets.
+    signed = members.select("doc", "own", "order")
+    cold = _block_rows(now.join(long, "token", "left_anti")).join(signed, "doc")
+    cold = cold.repartition(*key).sortWithinPartitions(*key, "side").select(*key, "side", "doc", "comp", "own", "order")
+    picked = scratch.keep(cold.mapInArrow(_candidates(n, t), _CANDIDATE), "candidates")
+    cold = picked.join(signed, "doc").join(_of(sets, picked.select("doc")), "doc")
     cold = cold.repartition(*key).sortWithinPartitions(*key, "side").select(*key, "side", "doc", "comp", "own", "order", "shingles")
     out = cold.mapInArrow(_blocks(n, t, percent), how)
     if hot.limit(1).count():
