@@ -11,8 +11,9 @@
    into components; within a list, pairs of one component need no test.
    What is left in lists with several components is compared in blocks of bounded size: every
    pair of different components with t or more collisions is tested, in the list of its rarest common
-   token alone, and only links leave the block.  Signatures go first and name the documents that are in such
-   a pair; only these are sent with their sets.  No list is capped and no pair is emitted
+   token alone, and only links leave the block.  Signatures go first, a whole list at a time, so that each
+   document goes once to each of its lists; they name the documents that are in such a pair, and only these
+   are dealt to blocks, with their sets.  No list is capped and no pair is emitted
    unless it is a link or a leader's candidate.
 4. A list over HOT documents (texts that share a template, but are no near duplicates) would make too many
    block pairs.  Its documents are posted anew under their rarest full-set shingles: two sets of
@@ -45,7 +46,7 @@ from pyspark.sql.window import Window
 
 from triplane.llm import scratch
 from triplane.llm.components import components
-from triplane.llm.words import NOT_SPACE, Words, chunks, drop_caches, mix
+from triplane.llm.words import NOT_SPACE, Bitmap, Words, chunks, drop_caches, mix
 
 _U = np.uint64
 #: Documents in a block, about; larger blocks mean fewer copies of a document, smaller ones less memory a task.
@@ -53,6 +54,8 @@ BLOCK = 512
 #: Documents in a list from which on it is split by full-set shingles.
 HOT = 8 * BLOCK
 STAR_ROUNDS = 3
+#: 2**MAP_BITS bits tell which documents' sets are made: none is missed, and joins drop the others that pass.
+MAP_BITS = 25
 #: Leaders that a document not linked in the first round is tried against in each later one.
 TRIES = 4
 
@@ -112,11 +115,25 @@ def _features(size: int, n: int):
     return run
 
 
-def _sets(size: int):
+def _bitmap(docs: DataFrame):
+    """A broadcast bitmap of the column ``hash``; the driver sees at most 2**MAP_BITS / 64 words."""
+    place = F.shiftrightunsigned("hash", 64 - MAP_BITS)
+    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(hash, {64 - MAP_BITS}) & 63 AS int))")
+    words = docs.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    flat = np.zeros(1 << (MAP_BITS - 6), _U)
+    flat[words["word"].to_numpy()] = words["bits"].to_numpy().view(_U)
+    return docs.sparkSession.sparkContext.broadcast(Bitmap(flat, MAP_BITS))
+
+
+def _sets(size: int, held):
+    """(doc_id, text, hash) to the sets of the documents that the bitmap has; the texts of others stay where they are read."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.seterr(over="ignore")
         drop_caches()
+        marked = held.value
         for batch in batches:
+            batch = batch.filter(pa.array(marked.has(batch.column(2).to_numpy().view(_U))))
             for first, end, buf, offsets in chunks(batch.column(1)):
                 own = [s.tobytes() for s in shingle_sets(buf, offsets, size)]
                 keys = pa.array([hashlib.blake2b(s, digest_size=16).digest() for s in own], pa.binary())
@@ -216,30 +233,39 @@ _PART = pa.struct([("of", pa.int64()), ("part", pa.int64())])
 _CANDIDATE_ARROW = pa.schema([("token", pa.int64()), ("left", _PART), ("right", _PART), ("side", pa.bool_()), ("doc", pa.int64()), ("comp", pa.int64())])
 
 
-def _candidates(n: int, t: int):
-    """Rows sorted by (token, left, right, side) to those that are in a candidate pair of their block pair."""
+def list_candidates(rows: list[dict], n: int, t: int, block: int) -> list[dict]:
+    """The rows of one list that are in a candidate pair there, once for each pair of blocks that holds one."""
+    token, whole = rows[0]["token"], _Side(rows, n)
+    hit, _ = block_candidates(token, whole, whole, True, t)
+    rows = sorted((r for r, x in zip(rows, hit.tolist(), strict=True) if x), key=lambda r: (r["comp"], r["doc"]))
+    parts = [rows[k : k + block] for k in range(0, len(rows), block)]
+    sides, out = [_Side(x, n) for x in parts], []
+    for i, j in ((i, j) for i in range(len(parts)) for j in range(i, len(parts))):
+        hits = block_candidates(token, sides[i], sides[j], i == j, t)
+        for side, part, found in ((False, parts[i], hits[0]), (True, parts[j], hits[1]))[: 1 if i == j else 2]:
+            own = {"token": token, "left": {"of": None, "part": i}, "right": {"of": None, "part": j}, "side": side}
+            out += [own | {"doc": r["doc"], "comp": r["comp"]} for r, x in zip(part, found.tolist(), strict=True) if x]
+    return out
 
-    def solve(rows: list[dict]) -> list[dict]:
-        left, right = [r for r in rows if not r["side"]], [r for r in rows if r["side"]]
-        a = _Side(left, n)
-        hit = block_candidates(rows[0]["token"], a, _Side(right, n) if right else a, not right, t)
-        picked = [r for r, x in zip(left, hit[0].tolist(), strict=True) if x]
-        return picked + [r for r, x in zip(right, hit[1].tolist(), strict=True) if x] if right else picked
+
+def _candidates(n: int, t: int):
+    """Rows sorted by token to those that are in a candidate pair of a block pair of their list."""
+    block = BLOCK
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for found in _by_block(batches, solve):
-            yield pa.RecordBatch.from_pylist([{k: r[k] for k in _CANDIDATE_ARROW.names} for r in found], _CANDIDATE_ARROW)
+        for found in _by_key(batches, ["token"], lambda rows: list_candidates(rows, n, t, block)):
+            yield pa.RecordBatch.from_pylist(found, _CANDIDATE_ARROW)
 
     return run
 
 
-def _by_block(batches: Iterator[pa.RecordBatch], solve) -> Iterator[list]:
-    """What ``solve`` gives for the rows of each block pair, of a batch at a time."""
+def _by_key(batches: Iterator[pa.RecordBatch], names: list[str], solve) -> Iterator[list]:
+    """What ``solve`` gives for the rows of each key, of a batch at a time."""
     held: list[dict] = []
     key, found = None, []
     for batch in batches:
         for row in batch.to_pylist():
-            now = (row["token"], row["left"], row["right"])
+            now = [row[x] for x in names]
             if now != key:
                 if held:
                     found += solve(held)
@@ -291,7 +317,7 @@ def _blocks(n: int, t: int, percent: int, hot: bool = False):
         return block_links(token, a, _Side(right, n) if right else a, not right, n, t, percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for found in _by_block(batches, solve):
+        for found in _by_key(batches, ["token", "left", "right"], solve):
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["u", "v"])
 
     return run
@@ -372,12 +398,13 @@ def _compared(now: DataFrame, members: DataFrame, sets: DataFrame, n: int, t: in
     long = now.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("token")
     hot = now.join(long, "token", "left_semi")
     key, how = ["token", "left", "right"], "u long, v long"
-    # Signatures alone tell which documents of a block have a candidate there, so only those carry their sets.
+    # Signatures alone tell which documents have a candidate, a whole list at a time, so only those are dealt to blocks.
     signed = members.select("doc", "own", "order")
-    cold = _block_rows(now.join(long, "token", "left_anti")).join(signed, "doc")
-    cold = cold.repartition(*key).sortWithinPartitions(*key, "side").select(*key, "side", "doc", "comp", "own", "order")
+    cold = now.join(long, "token", "left_anti").join(signed, "doc")
+    cold = cold.repartition("token").sortWithinPartitions("token").select("token", "doc", "comp", "own", "order")
     picked = scratch.keep(cold.mapInArrow(_candidates(n, t), _CANDIDATE), "candidates")
-    cold = picked.join(signed, "doc").join(_of(sets, picked.select("doc")), "doc")
+    whole = _of(sets, picked.select("doc")).join(signed, "doc")  # a row a document; the copies for blocks are made of these
+    cold = picked.join(whole, "doc")
     cold = cold.repartition(*key).sortWithinPartitions(*key, "side").select(*key, "side", "doc", "comp", "own", "order", "shingles")
     out = cold.mapInArrow(_blocks(n, t, percent), how)
     if hot.limit(1).count():
@@ -421,9 +448,10 @@ def near_dedup(docs: DataFrame, size: int = 5, percent: int = 80, n: int = 48, t
     lists = scratch.keep(lists.join(several, "token"), "lists")
 
     wanted = classes.join(lists.select("doc").distinct(), "doc", "left_semi").select("doc", F.col("least").alias("doc_id"), "set_key")
-    texts = rows.join(wanted.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    made = texts.select("doc_id", "text").mapInArrow(_sets(size), "doc_id long, set_key binary, shingles binary")
-    sets = made.join(wanted, ["doc_id", "set_key"]).dropDuplicates(["doc"]).select("doc", "shingles")
+    # No text is dealt: where documents are read, a bitmap tells whose sets are made.
+    hashed = rows.select("doc_id", "text", F.xxhash64("doc_id").alias("hash"))
+    made = hashed.mapInArrow(_sets(size, _bitmap(wanted.select(F.xxhash64("doc_id").alias("hash")))), "doc_id long, set_key binary, shingles binary")
+    sets = made.dropDuplicates(["doc_id", "set_key"]).join(wanted, ["doc_id", "set_key"]).select("doc", "shingles")
     sets = scratch.keep(sets, "sets")
 
     found = None  # (u, v) links
